@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .license_scan import OP2_SQL, op2_license_scan
+from .quality import OP9_SQL, op9_quality
 from .simhash import op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_license_scan": op2_license_scan,
+        "op9_quality": op9_quality,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_license_scan": OP2_SQL,
+        "op9_quality": OP9_SQL,
+    }
