@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .license_scan import OP2_SQL, op2_license_scan
+from .line_dedup import OP1_SQL, op1_line_dedup
 from .quality import OP9_SQL, op9_quality
 from .simhash import op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_license_scan": op2_license_scan,
         "op9_quality": op9_quality,
         "op10_simhash": op10_simhash,
@@ -21,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": OP1_SQL,
         "op2_license_scan": OP2_SQL,
         "op9_quality": OP9_SQL,
     }
