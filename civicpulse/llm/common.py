@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,26 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def prefix_sums(df: DataFrame, keys: list[str], weight: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``weight`` over the rows before this one in key order.
+
+    Rows are dealt by range of their keys and summed within a range; only one sum
+    per range reaches the driver, so no task and no driver holds the whole order.
+    Rows of equal keys are ordered arbitrarily; make the keys unique.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id())
+    dealt = materialise(dealt, "ranges")
+    total, pairs = 0, []
+    for row in dealt.groupBy("_range").agg(F.sum(weight).alias("n")).orderBy("_range").collect():
+        pairs += [F.lit(row["_range"]), F.lit(total)]
+        total += row["n"]
+    base = F.element_at(F.create_map(*pairs), F.col("_range")) if pairs else F.lit(0)
+    running = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = base + F.coalesce(F.sum(weight).over(running), F.lit(0))
+    return dealt.withColumn(out, before.cast("long")).drop("_range")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an undirected graph: rows ``(node, root)``, root the least node.
 

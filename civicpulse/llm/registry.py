@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import op7_embedding_dedup
 from .license_scan import OP2_SQL, op2_license_scan
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .packing import op3_packing
 from .quality import OP9_SQL, op9_quality
 from .simhash import op10_simhash
+from .token_counts import op6_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_license_scan": op2_license_scan,
+        "op3_packing": op3_packing,
+        "op6_token_counts": op6_token_counts,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op9_quality": op9_quality,
         "op10_simhash": op10_simhash,
     }
