@@ -15,8 +15,10 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,43 +29,92 @@ from pyspark.sql import functions as F
 from .common import materialise, prefix_sums, read_table, text_or_empty
 
 SLOTS, DIMS, BITS = 1024, 4, 12
-#: entries of a worker's cache of encoded words before it starts afresh
-CACHE = 300_000
-
-
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Encoder of whole texts for a tokenizer that never joins over white space.
-
-    Texts are cut at plain white space and each piece is encoded once; the ids
-    equal those of the whole text because no token and no normaliser rule of
-    such a tokenizer reaches over a blank.
+#: entries of a generation of a worker's cache of encoded words
+CACHE = 150_000
+
+
+class _Generations:
+    """A bounded dictionary: what is not asked for over a generation is dropped."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.new, self.old = size, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys that are not held; those held move to the present generation."""
+        if len(self.new) > self.size:
+            self.old, self.new = self.new, {}
+        out, new, old = [], self.new, self.old
+        for k in keys:
+            if k not in new:
+                v = old.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    new[k] = v
+        return out
+
+
+class WordEncoder:
+    """Encoder of whole texts for a lower-casing word tokenizer.
+
+    A text of Latin-1 characters is cut into words by the tokenizer's own rule,
+    and each word is encoded once per generation of a bounded cache; the ids
+    equal those of the whole text because such a tokenizer never merges over the
+    end of a word.  Other texts go to the tokenizer as they are.
     """
-    import os
 
-    from tokenizers import Tokenizer
+    #: the tokenizer's rule for words, spelt out for lower-case Latin-1
+    WORD = re.compile(
+        "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\x09-\x0D\x20\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
+    )
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(path)
-    kind = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-    known: dict[str, bytes] = {}
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2") if len(vocab) <= 1 << 16 else np.dtype("<u4")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = _Generations(CACHE)
+
+    def _encode_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 128):
+            part = words[at : at + 128]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(cuts) != len(part):
+                raise ValueError("the tokenizer does not mark the ends of words")
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(part, cuts.tolist(), strict=True):
+                self.words.new[word] = data[begin:end]
+                begin = end
+
+    def _plain(self, text: str) -> bool:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        return not any(s in text for s in self.special)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.WORD.findall(t.lower()) if self._plain(t) else None for t in texts]
+        self._encode_words(self.words.missing(set().union(*[words for words in cut if words])))
+        ids = self.words.new.__getitem__
+        return [
+            np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+            if words is None
+            else np.frombuffer(b"".join(map(ids, words)), self.kind)
+            for text, words in zip(texts, cut, strict=True)
+        ]
 
-    def encode(text: str) -> np.ndarray:
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            data = b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            new = list({p for p in pieces if p not in known})
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for p, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, kind).tobytes()
-            data = b"".join(map(known.__getitem__, pieces))
-        return np.frombuffer(data, kind)
 
-    return encode
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 @lru_cache(maxsize=1)
@@ -112,13 +163,11 @@ def _tokenize(path: str, end_id: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, cells = [], []
-                for text in part.column(2).to_pylist():
-                    got = encode(text)
-                    cells.append(coordinates(got))
-                    ids.append(np.append(got, got.dtype.type(end_id)))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                got = encode(part.column(2).to_pylist())
+                cells = [coordinates(x) for x in got]
+                ids = [np.append(x, x.dtype.type(end_id)) for x in got]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 width = np.array([x.dtype.itemsize for x in ids], np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -153,7 +202,7 @@ def _cut(length: int, total: int):
         return full + k, tail[k], tail[k + 1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             columns = (batch.column(c).to_pylist() for c in ("id", "key", "n", "width", "at"))
             data = batch.column("ids")
             rows = []

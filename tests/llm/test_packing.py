@@ -17,8 +17,20 @@ def test_encoder_equals_the_whole_text():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(PATH)
-    for text in TEXTS:
-        assert word_encoder(PATH)(text or "").tolist() == whole.encode(text or "", add_special_tokens=False).ids
+    texts = [t or "" for t in TEXTS] + ["".join(chr(c) for c in range(1, 600)), "don't we'LL I'D 'sup 'S's ''s 3rd a_b"]
+    for _ in range(2):
+        for text, ids in zip(texts, word_encoder(PATH)(texts), strict=True):
+            assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_cache_generations_do_not_change_ids(monkeypatch):
+    from civicpulse.llm import packing
+
+    monkeypatch.setattr(packing, "CACHE", 2)
+    small = packing.WordEncoder(PATH)
+    for _ in range(3):
+        for text in TEXTS:
+            assert small([text or ""])[0].tolist() == word_encoder(PATH)([text or ""])[0].tolist()
 
 
 @pytest.mark.parametrize(("dims", "bits"), [(2, 5), (3, 3), (4, 2)])
@@ -41,7 +53,7 @@ def test_round_trip(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
     got = pack_documents(df, PATH, length=256).collect()
     enc = word_encoder(PATH)
-    want = sorted(((i, tuple([*enc(t or "").tolist(), 1])) for i, t, _ in rows), key=str)
+    want = sorted(((i, tuple([*enc([t or ""])[0].tolist(), 1])) for i, t, _ in rows), key=str)
     sequences: dict = {}
     docs: dict = {}
     for r in got:
@@ -66,7 +78,7 @@ def test_round_trip(spark):
         ids = [x for _, p in starts for x in p] if copies == 1 else None
         if ids is None:  # equal rows: pieces of the copies interleave
             assert sum(len(p) for _, p in starts) == copies * n
-            built += [(i, tuple([*enc(TEXTS[9]).tolist(), 1]))] * copies
+            built += [(i, tuple([*enc([TEXTS[9]])[0].tolist(), 1]))] * copies
         else:
             assert len(ids) == n
             built.append((i, tuple(ids)))
