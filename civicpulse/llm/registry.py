@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import op7_embedding_dedup
+from .language_id import op5_language_id
 from .license_scan import OP2_SQL, op2_license_scan
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op3_packing
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_license_scan": op2_license_scan,
         "op3_packing": op3_packing,
+        "op5_language_id": op5_language_id,
         "op6_token_counts": op6_token_counts,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op9_quality": op9_quality,
