@@ -83,7 +83,8 @@ class WordEncoder:
     def _encode_words(self, words: list[str]) -> None:
         for at in range(0, len(words), 128):
             part = words[at : at + 128]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, self.kind)
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
             if len(cuts) != len(part):
                 raise ValueError("the tokenizer does not mark the ends of words")
