@@ -30,7 +30,7 @@ from .common import materialise, prefix_sums, read_table, text_or_empty
 
 SLOTS, DIMS, BITS = 1024, 4, 12
 #: entries of a generation of a worker's cache of encoded words
-CACHE = 150_000
+CACHE = 300_000
 
 
 class _Generations:
@@ -190,7 +190,7 @@ def tail_cuts(total: int, length: int) -> list[int]:
     return cuts
 
 
-def _cut(length: int, total: int):
+def _cut(length: int, total: int, with_ids: bool):
     tail = tail_cuts(total, length)
     full = tail[0] // length
 
@@ -214,12 +214,13 @@ def _cut(length: int, total: int):
                 while start < n:
                     s, begin, end = place(at + start)
                     size = min(n - start, end - at - start)
-                    piece = ids[start : start + size].tobytes()
-                    rows.append((i, start, size, zlib.crc32(piece), n, s, at + start - begin, key, piece))
+                    piece = ids[start : start + size]
+                    row = (i, start, size, zlib.crc32(piece), n, s, at + start - begin, key)
+                    rows.append((*row, piece.tobytes()) if with_ids else row)
                     start += size
             if rows:
                 names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "hilbert_key", "ids"]
-                kinds = [pa.int64()] * 8 + [pa.binary()]
+                names, kinds = names[: len(rows[0])], ([pa.int64()] * 8 + [pa.binary()])[: len(rows[0])]
                 arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -227,12 +228,14 @@ def _cut(length: int, total: int):
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, id_col: str = "doc_id", text_col: str = "text",
+    with_ids: bool = True,
 ) -> DataFrame:
     """Pieces of documents and their places in sequences.
 
     ``tokenizer`` is the path of a tokenizer file on every machine.  ``ids`` holds
-    the piece's ids as little-endian unsigned 32-bit numbers.
+    the piece's ids as little-endian unsigned 32-bit numbers; without ``with_ids``
+    only their check sum comes back.
     """
     slim = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")
@@ -242,15 +245,14 @@ def pack_documents(
     order = prefix_sums(tokens.select("row", "id", "key", "n"), ["key", "id", "row"], "n", "at")
     total = tokens.agg(F.sum("n").alias("n")).first()["n"] or 0
     placed = tokens.join(order.select("row", "at"), "row")
-    return placed.select("id", "key", "n", "width", "at", "ids").mapInArrow(
-        _cut(length, total),
-        "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, hilbert_key long, ids binary",
-    )
+    schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, hilbert_key long"
+    placed = placed.select("id", "key", "n", "width", "at", "ids")
+    return placed.mapInArrow(_cut(length, total, with_ids), schema + (", ids binary" if with_ids else ""))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     import public_tokenizers
 
-    pieces = pack_documents(read_table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
-    return pieces.drop("ids").withColumnRenamed("id", "doc_id")
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(read_table(spark, sf_dir, "documents"), path, with_ids=False).withColumnRenamed("id", "doc_id")
