@@ -129,6 +129,7 @@ def repeated_windows(lines: DataFrame) -> DataFrame:
     place = F.struct("_id", "_row", "j")
     key = ["k", "m", "r", "r2"]
     firsts = windows.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = materialise(firsts, "firsts")  # a table of its own: the join below can be split where an interval is large
     later = windows.join(firsts, key).where(~place.eqNullSafe(F.col("first"))).select("_row", "j", "m")
     later = materialise(later, "later")
     for table in [*found, *old]:
@@ -207,9 +208,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = rf"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 raw AS (SELECT rid, doc_id, unnest(string_split(t, chr(10))) AS raw_line, unnest(range(len(string_split(t, chr(10))))) AS raw FROM d),
-l AS (SELECT rid, doc_id, raw, s, len(regexp_split_to_array(s, '[ 	-]+')) AS words,
+l AS (SELECT rid, doc_id, raw, s, len(regexp_split_to_array(s, '[ 	-
+]+')) AS words,
              row_number() OVER (PARTITION BY rid ORDER BY raw) - 1 AS j
-      FROM (SELECT *, regexp_replace(raw_line, '^[ 	-]+|[ 	-]+$', '', 'g') AS s FROM raw) WHERE s <> ''),
+      FROM (SELECT *, regexp_replace(raw_line, '^[ 	-
+]+|[ 	-
+]+$', '', 'g') AS s FROM raw) WHERE s <> ''),
 a AS (SELECT *, list(s) OVER ahead AS nxt, list(words) OVER ahead AS w FROM l
       WINDOW ahead AS (PARTITION BY rid ORDER BY j ROWS BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)),
 m AS (SELECT *, list_position(list_transform(range(1, len(w) + 1), lambda k: list_sum(w[1:k]) >= {MIN_WORDS}), true) AS m FROM a),
