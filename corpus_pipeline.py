@@ -41,8 +41,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
     import public_tokenizers
 
-    pieces = pack_documents(docs, str(public_tokenizers.path("word_bpe_49k.json")))
-    return pieces.drop("ids").withColumnRenamed("id", "doc_id")
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(docs, path, with_ids=False).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
