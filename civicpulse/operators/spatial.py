@@ -18,9 +18,9 @@ def _edges(polygon: Column) -> Column:
     def ring_edges(ring: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(0), F.size(ring) - 2),
-            lambda i: F.struct(
-                F.get(ring, i)["lon"].alias("x1"), F.get(ring, i)["lat"].alias("y1"),
-                F.get(ring, i + 1)["lon"].alias("x2"), F.get(ring, i + 1)["lat"].alias("y2"),
+            lambda i: F.named_struct(
+                F.lit("x1"), F.get(ring, i)["lon"], F.lit("y1"), F.get(ring, i)["lat"],
+                F.lit("x2"), F.get(ring, i + 1)["lon"], F.lit("y2"), F.get(ring, i + 1)["lat"],
             ),
         )
 
@@ -127,7 +127,7 @@ def clip_to_bbox(boundaries: DataFrame, min_lon: float, min_lat: float, max_lon:
         def step(i: Column) -> Column:
             a, b = F.get(ring, i), F.get(ring, i + 1)
             t = (F.lit(limit) - a[axis]) / (b[axis] - a[axis])
-            cut = F.struct((a["lon"] + t * (b["lon"] - a["lon"])).alias("lon"), (a["lat"] + t * (b["lat"] - a["lat"])).alias("lat"))
+            cut = F.named_struct(F.lit("lon"), a["lon"] + t * (b["lon"] - a["lon"]), F.lit("lat"), a["lat"] + t * (b["lat"] - a["lat"]))
             nothing = F.array().cast("array<struct<lon:double,lat:double>>")
             return F.concat(F.when(keep(a) != keep(b), F.array(cut)).otherwise(nothing), F.when(keep(b), F.array(b)).otherwise(nothing))
 

@@ -73,8 +73,8 @@ def feature_collection(boundaries: DataFrame, summaries: DataFrame | None = None
     """
     ring = lambda r: F.transform(r, lambda p: F.array(p["lon"], p["lat"]))
     polygons = F.transform("polygons", lambda p: F.transform(p, ring))
-    geometry = F.when(F.col("geometry_type") == "Polygon", F.to_json(F.struct(F.lit("Polygon").alias("type"), polygons[0].alias("coordinates")))).otherwise(
-        F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), polygons.alias("coordinates")))
+    geometry = F.when(F.col("geometry_type") == "Polygon", F.to_json(F.named_struct(F.lit("type"), F.lit("Polygon"), F.lit("coordinates"), polygons[0]))).otherwise(
+        F.to_json(F.named_struct(F.lit("type"), F.lit("MultiPolygon"), F.lit("coordinates"), polygons))
     )
     df = boundaries.select("geography", "geography_value", "properties", geometry.alias("geometry"))
     extra = ("complaint_type", "dominant_topic", "topic_count", "geography_total_count", "share_of_geography")

@@ -69,7 +69,7 @@ def load_boundaries(spark: SparkSession, path: str, layer: str | None = None, va
         F.when(kind == "Polygon", F.array(F.from_json("f.geometry.coordinates", nested)))
         .when(kind == "MultiPolygon", F.from_json("f.geometry.coordinates", f"array<{nested}>"))
     )
-    as_points = F.transform(polygons, lambda poly: F.transform(poly, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))))
+    as_points = F.transform(polygons, lambda poly: F.transform(poly, lambda ring: F.transform(ring, lambda p: F.named_struct(F.lit("lon"), p[0], F.lit("lat"), p[1]))))
     df = feature.select(
         F.col("f.properties.geography").alias("geography"), F.col("f.properties.geography_value").alias("geography_value"),
         F.map_filter("f.properties", lambda k, _: ~k.isin("geography", "geography_value")).alias("properties"),
