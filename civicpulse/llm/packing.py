@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, prefix_sums, read_table, text_or_empty
 
-SLOTS, DIMS, BITS = 1024, 4, 12
+SLOTS, DIMS, BITS = 256, 4, 12
 #: entries of a generation of a worker's cache of encoded words
-CACHE = 300_000
+CACHE = 150_000
 
 
 class _Generations:
@@ -125,7 +125,7 @@ def _signs() -> np.ndarray:
 
 def coordinates(ids: np.ndarray) -> np.ndarray:
     """Cell of a document on the grid of ``2 ** BITS`` steps a dimension."""
-    hashed = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(22)
+    hashed = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24)
     counts = np.log1p(np.bincount(hashed, minlength=SLOTS))
     norm = np.linalg.norm(counts)
     spot = counts @ _signs() / norm if norm else np.zeros(DIMS)
@@ -164,16 +164,16 @@ def _tokenize(path: str, end_id: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = encode(part.column(2).to_pylist())
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                got = encode(part.column(2).to_numpy(zero_copy_only=False).tolist())
                 cells = [coordinates(x) for x in got]
-                ids = [np.append(x, x.dtype.type(end_id)) for x in got]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                width = np.array([x.dtype.itemsize for x in ids], np.int32)
+                width = np.full(len(got), got[0].dtype.itemsize, np.int32)
+                sizes = np.array([len(x) for x in got], np.int64) + 1
+                end = got[0].dtype.type(end_id).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(hilbert_keys(np.array(cells))), pa.array(sizes), pa.array(width),
-                     pa.array([x.tobytes() for x in ids], pa.binary())],
+                     pa.array([x.tobytes() + end for x in got], pa.binary())],
                     names=["row", "id", "key", "n", "width", "ids"],
                 )
 
