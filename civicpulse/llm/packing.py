@@ -69,10 +69,15 @@ class WordEncoder:
     )
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        # words are in lower case and cut already: for them the model alone, without normaliser and rule
+        self.word_tokenizer = Tokenizer(self.tokenizer.model)
+        self.word_tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocab = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2") if len(vocab) <= 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -83,7 +88,7 @@ class WordEncoder:
     def _encode_words(self, words: list[str]) -> None:
         for at in range(0, len(words), 128):
             part = words[at : at + 128]
-            (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            (found,) = self.word_tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
             ids = np.array(found.ids, self.kind)
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
             if len(cuts) != len(part):
