@@ -556,7 +556,7 @@ def did_aggregate(spark, d):
 
 
 @query(f"""{_CELLS}, b AS (SELECT "group", max(period) AS base FROM gt WHERE period < "group" GROUP BY 1), z AS (SELECT gt."group", att AS att0 FROM gt JOIN b ON gt."group" = b."group" AND period = base)
-SELECT gt."group", period, round(att - att0, 9) AS att FROM gt JOIN z ON gt."group" = z."group" """)
+SELECT gt."group", period, round(att - att0, 9) + 0.0 AS att FROM gt JOIN z ON gt."group" = z."group" """)
 def att_gt(spark, d):
     return rounded(causal.att_gt(panel(spark, d), "complaint_count"))
 
@@ -583,7 +583,7 @@ def panel_fe(spark, d):
 
 @query(f"""WITH {PANEL}, s AS (SELECT unit_id, period, complaint_count AS y, row_number() OVER (PARTITION BY unit_id ORDER BY period) - 1 AS t FROM p),
 a AS (SELECT unit_id, regr_slope(y, t) AS b, regr_intercept(y, t) AS i FROM s WHERE period < '1998-06' GROUP BY 1), z AS (SELECT unit_id, regr_slope(y, t) AS b, regr_intercept(y, t) AS i FROM s WHERE period >= '1998-06' GROUP BY 1)
-SELECT unit_id, round(a.b, 6) AS pre_trend, round(z.b, 6) AS post_trend, round(z.i - a.i, 6) AS level_change, round(z.b - a.b, 6) AS trend_change FROM a JOIN z USING (unit_id)""")
+SELECT unit_id, round(a.b, 6) + 0.0 AS pre_trend, round(z.b, 6) + 0.0 AS post_trend, round(z.i - a.i, 6) + 0.0 AS level_change, round(z.b - a.b, 6) + 0.0 AS trend_change FROM a JOIN z USING (unit_id)""")
 def its(spark, d):
     found = regression.interrupted_time_series(panel(spark, d), "complaint_count", "period", "1998-06", ["unit_id"])
     return rounded(found.drop("p_value_level", "p_value_trend"), 6)
@@ -600,12 +600,12 @@ def oaxaca(spark, d):
     return rounded(one_row(spark, found, ["total_gap", "explained", "unexplained"]), 4)
 
 
-@query("""WITH r AS (SELECT (o_custkey % 1000) - 500 + 0.5 AS x, o_totalprice / 1000 AS y FROM orders), w AS (SELECT *, 1 - abs(x) / 200 AS w, x >= 0 AS s FROM r WHERE abs(x) <= 200),
+@query("""WITH r AS (SELECT (o_custkey * 919 % 1000) - 500 + 0.5 AS x, o_totalprice / 1000 AS y FROM orders), w AS (SELECT *, 1 - abs(x) / 200 AS w, x >= 0 AS s FROM r WHERE abs(x) <= 200),
 m AS (SELECT s, sum(w) AS a, sum(w * x) AS b, sum(w * x * x) AS c, sum(w * y) AS p, sum(w * x * y) AS q FROM w GROUP BY 1), i AS (SELECT s, (c * p - b * q) / (a * c - b * b) AS i FROM m)
 SELECT round((SELECT i FROM i WHERE s) - (SELECT i FROM i WHERE NOT s), 6) AS treatment_effect, CAST((SELECT count(*) FROM w WHERE NOT s) AS DOUBLE) AS n_effective_left,
 CAST((SELECT count(*) FROM w WHERE s) AS DOUBLE) AS n_effective_right""")
 def rdd(spark, d):
-    rows = table(spark, d, "orders").select((F.col("o_custkey") % 1000 - 500 + 0.5).alias("x"), (F.col("o_totalprice") / 1000).alias("y"))
+    rows = table(spark, d, "orders").select((F.col("o_custkey") * 919 % 1000 - 500 + 0.5).alias("x"), (F.col("o_totalprice") / 1000).alias("y"))
     found = regression.regression_discontinuity(rows, "x", "y", bandwidth=200.0)
     return rounded(one_row(spark, found, ["treatment_effect", "n_effective_left", "n_effective_right"]), 6)
 
@@ -713,7 +713,7 @@ def bym2(spark, d):
     return long_rows(spark, found["smoothed_rates"])
 
 
-@query(f"""{_CELLS} SELECT unit_id, round(sum(CASE WHEN period < '1998-06' THEN complaint_count ELSE 0 END) * 1.0, 9) AS before, round(sum(CASE WHEN period >= '1998-06' THEN complaint_count ELSE 0 END) * 1.0, 9) AS after FROM p GROUP BY 1""")
+@query(f"""{_CELLS} SELECT unit_id, CAST(sum(CASE WHEN period < '1998-06' THEN complaint_count ELSE 0 END) AS DOUBLE) AS before, CAST(sum(CASE WHEN period >= '1998-06' THEN complaint_count ELSE 0 END) AS DOUBLE) AS after FROM p GROUP BY 1""")
 def panel_totals(spark, d):
     p = panel(spark, d)
     part = lambda c: F.sum(F.when(c, F.col("complaint_count")).otherwise(0)).cast("double")
