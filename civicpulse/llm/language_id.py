@@ -12,8 +12,8 @@ Defined cases: a text that is null or has at most ``MIN_BYTES`` bytes says nothi
 the other evidence decides; missing markup, suffix or host say nothing; declared
 languages that no model knows are evidence like any other value; without labelled
 rows nothing can be recognised (language null, not kept); text that fits no model
-(its best mean log-likelihood is ``MARGIN`` nats below the training mean) is
-``und``; repeated rows are judged each; an empty table gives no rows.
+(it falls short of the training mean by ``MARGIN`` nats a byte and ``SLACK`` nats
+besides) is ``und``; repeated rows are judged each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ TRAIN_ROWS = 4000  # bound of the labelled sample
 MAX_LANGUAGES = 64  # most frequent in that sample
 TEMPER = 0.2  # bigrams of a text are not independent
 MARGIN = 1.5
+SLACK = 300.0  # nats that a text of any length may fall short by: names and codes weigh on short texts
 STRENGTH = 10.0  # documents a parent's prior counts for
 MIN_POSTERIOR = 0.5
 MIN_BYTES = 3  # shorter texts say nothing
@@ -40,11 +41,16 @@ _SLICE = 1 << 20
 
 _HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->")
 _TAG = re.compile(rb"(?s)<[^>]*>")
+_ENTITIES = ((b"&lt;", b"<"), (b"&gt;", b">"), (b"&quot;", b'"'), (b"&nbsp;", b" "), (b"&#39;", b"'"), (b"&amp;", b"&"))
 
 
 def visible(html: bytes) -> bytes:
-    """Text of a page without scripts, styles, comments and tags."""
-    return _TAG.sub(b" ", _HIDDEN.sub(b" ", html))
+    """Text of a page without scripts, styles, comments and tags; common entities resolved."""
+    text = _TAG.sub(b" ", _HIDDEN.sub(b" ", html))
+    if b"&" in text:
+        for entity, plain in _ENTITIES:
+            text = text.replace(entity, plain)
+    return text
 
 
 def _pairs(data: bytes) -> Iterator[np.ndarray]:
@@ -110,8 +116,8 @@ def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarra
                 for pairs in _pairs(data):
                     total += logp[pairs].sum(axis=0, dtype=np.float64)
                 if len(data) > MIN_BYTES and len(langs):
-                    best = total / (len(data) - 1) - mean
-                    fits[k] = best.max() > -MARGIN
+                    short = (mean - MARGIN) * (len(data) - 1) - total
+                    fits[k] = short.min() < SLACK
                     out[k] = TEMPER * total if len(data) > MIN_BYTES else 0.0
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(langs)), pa.array(out.ravel(), pa.float64())

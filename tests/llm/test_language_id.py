@@ -26,7 +26,7 @@ def test_text_beats_a_wrong_declaration_and_priors_help_the_rest(spark):
     rows = corpus()
     rng = np.random.default_rng(5)
     rows += [(900 + i, " ".join(rng.choice(WORDS["fr"], 60)), "en", "src-en", 1) for i in range(3)]
-    rows += [(910, None, None, "src-de", 0), (911, "", "fr", None, 0), (912, None, None, None, None), (913, "\x00\x01\x02\x03" * 60, None, "src-en", 9)]
+    rows += [(910, None, None, "src-de", 0), (911, "", "fr", None, 0), (912, None, None, None, None), (913, "\x00\x01\x02\x03" * 200, None, "src-en", 9)]
     rows += [rows[0]]
     df = spark.createDataFrame(rows, SCHEMA)
     got = {}
@@ -62,6 +62,7 @@ def test_pages_use_markup_address_and_host(spark):
 
 def test_visible_text():
     assert visible(b"<p>a</p><style>b</style><!-- c --><SCRIPT>d</script >e").split() == [b"a", b"e"]
+    assert visible(b"<p>a &amp;lt; &lt;b&gt; &eacute;</p>").strip() == b"a &lt; <b> &eacute;"
 
 
 def test_empty_table(spark):

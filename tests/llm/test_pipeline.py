@@ -36,7 +36,7 @@ def planted(tmp_path, spark):
     near = docs[41][1].replace("\n", " ").split()
     near[5] = "changed"
     docs.append([501, " ".join(near), "fr"])  # near copy on one line: only SimHash can see it
-    docs.append([502, "\x01\x02\x03\x04" * 50, None])  # no language
+    docs.append([502, "\x01\x02\x03\x04" * 200, None])  # no language
     docs.append([503, None, "en"])
     rows = [(i, t, lang, f"src{i % 3}", len(t or "")) for i, t, lang in docs]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
