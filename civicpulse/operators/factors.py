@@ -147,3 +147,21 @@ class Pipeline:
                 found = attach(found, placed.groupBy(*keys, *by).agg(F.count("*").alias("n")).groupBy(*keys).agg(*wanted))
         found = found.na.fill(0, ["_n"])
         return found.select(*keys, *[f.result().alias(f.name) for f in self.factors])
+
+
+def run_pandas_factor(requests: DataFrame, contexts: DataFrame, geography: str, name: str, compute) -> DataFrame:
+    """Escape hatch for factors that no aggregate expresses: ``compute(pandas frame) -> float``.
+
+    One task holds the requests of a context at a time; prefer a :class:`Factor`
+    wherever its value can be aggregated.  Contexts without requests are absent.
+    """
+    import pandas as pd
+
+    keys = ["geography_id", "window_start", "window_end"]
+    inside = F.col("created_date").between(F.col("window_start"), F.col("window_end"))
+    rows = requests.join(contexts, (F.col(geography) == F.col("geography_id")) & inside).select(*keys, *requests.columns)
+
+    def apply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, float(compute(pdf)))], columns=[*keys, name])
+
+    return rows.groupBy(*keys).applyInPandas(apply, f"geography_id string, window_start date, window_end date, {name} double")

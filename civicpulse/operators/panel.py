@@ -111,3 +111,36 @@ def cross_section(panel: DataFrame, columns: list[str], period: str | None = Non
     else:
         out = panel.groupBy("unit_id").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
     return out.dropna(subset=columns)
+
+
+def regroup_panel(panel: DataFrame, by_period: bool = True) -> DataFrame:
+    """Sums by borough (the unit label without its last word) and period."""
+    borough = F.regexp_replace("unit_id", " [^ ]+$", "").alias("borough")
+    keys = [borough, "period"] if by_period else [borough]
+    return panel.groupBy(*keys).agg(F.sum("complaint_count").alias("complaint_count"))
+
+
+def split_at_median(units: DataFrame, column: str) -> DataFrame:
+    """Adds ``upper``: at or above the median of ``column``; rows without it are left out."""
+    rows = units.where(F.col(column).isNotNull())
+    middle = rows.agg(F.percentile(column, F.lit(0.5)).alias("_median"))  # one row
+    return rows.join(F.broadcast(middle)).withColumn("upper", F.col(column) >= F.col("_median")).drop("_median")
+
+
+def equity_ratios(panel: DataFrame, top: int = 5) -> DataFrame:
+    """Units with the largest median of cell medians relative to the median over all cells."""
+    value = F.col("median_resolution_days")
+    overall = panel.agg(F.percentile(value, F.lit(0.5)).alias("_all"))  # one row
+    units = panel.groupBy("unit_id").agg(F.percentile(value, F.lit(0.5)).alias("median_days")).where("median_days is not null")
+    out = units.join(F.broadcast(overall)).select("unit_id", "median_days", (F.col("median_days") / F.col("_all")).alias("equity_ratio"))
+    return out.orderBy(F.desc("equity_ratio"), "unit_id").limit(top)
+
+
+def month_means(series: DataFrame, period: str, value: str) -> DataFrame:
+    """Mean by month number of labels ``yyyy-MM``."""
+    return series.groupBy(F.substring(period, 6, 2).cast("int").alias("month")).agg(F.avg(value).alias("mean"))
+
+
+def outcome_variance(panel: DataFrame, column: str) -> DataFrame:
+    """Sample variance of an outcome and the mean of its ``log1p``."""
+    return panel.agg(F.var_samp(column).alias("variance"), F.avg(F.log1p(column)).alias("mean_log1p"))

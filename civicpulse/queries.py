@@ -348,6 +348,33 @@ def cross_section(spark, d):
     return rounded(P.cross_section(panel(spark, d), ["complaint_count", "resolution_rate"]))
 
 
+@query(f"WITH {PANEL} SELECT split_part(unit_id, '_', 1) AS borough, period, CAST(sum(complaint_count) AS BIGINT) AS complaint_count FROM p GROUP BY ALL")
+def regroup_panel(spark, d):
+    return P.regroup_panel(panel(spark, d).withColumn("unit_id", F.translate("unit_id", "_", " ")))
+
+
+@query(f"""WITH {PANEL}, c AS (SELECT unit_id, avg(complaint_count) AS m FROM p GROUP BY 1)
+SELECT unit_id, round(m, 9) AS complaint_count, m >= (SELECT median(m) FROM c) AS upper FROM c""")
+def split_at_median(spark, d):
+    return rounded(P.split_at_median(P.cross_section(panel(spark, d), ["complaint_count"]), "complaint_count"))
+
+
+@query(f"""WITH {PANEL}, u AS (SELECT unit_id, median(median_resolution_days) AS m FROM p GROUP BY 1)
+SELECT unit_id, m AS median_days, round(m / (SELECT median(median_resolution_days) FROM p), 9) AS equity_ratio FROM u ORDER BY equity_ratio DESC, unit_id LIMIT 5""")
+def equity_ratios(spark, d):
+    return rounded(P.equity_ratios(panel(spark, d)))
+
+
+@query(f"WITH {PANEL} SELECT CAST(substr(period, 6, 2) AS BIGINT) AS month, round(avg(complaint_count), 9) AS mean FROM p GROUP BY 1")
+def month_means(spark, d):
+    return rounded(P.month_means(panel(spark, d), "period", "complaint_count"))
+
+
+@query(f"WITH {PANEL} SELECT round(var_samp(complaint_count), 6) AS variance, round(avg(ln(1 + complaint_count)), 6) AS mean_log1p FROM p")
+def outcome_variance(spark, d):
+    return rounded(P.outcome_variance(panel(spark, d), "complaint_count"), 6)
+
+
 # -- factors ----------------------------------------------------------------
 FACTORS = [
     FA.complaint_volume(), FA.resolution_time(), FA.topic_concentration(), FA.seasonality({m: 20.0 + m for m in range(1, 12)}),
