@@ -30,17 +30,23 @@ def treatment_dates(spark, events: list[TreatmentEvent]) -> DataFrame:
 
 
 def complaint_cells(requests: DataFrame, geography: str, freq: str) -> DataFrame:
-    """One row per observed cell; the counts by type come from one pre-aggregation."""
+    """One row per observed cell.
+
+    Requests are counted once by cell, type and days to the period's end; counts,
+    rates, weighted medians and type maps all come from that small table, whose
+    one exchange the branches reuse.
+    """
     unit, day = geography_column(geography), F.col("created_date")
     f = normalize_frequency(freq)
-    days = F.greatest(F.datediff(period_end(day, f), day), F.lit(0))
-    solved = F.col("resolution_description").isNotNull()
+    days = F.when(F.col("resolution_description").isNotNull(), F.greatest(F.datediff(period_end(day, f), day), F.lit(0)))
     keys = [unit.alias("unit_id"), period_label(day, f).alias("period"), period_start(day, f).alias("period_start")]
-    by_type = requests.groupBy(*keys, "complaint_type").agg(F.count("*").alias("n"))
+    counts = requests.groupBy(*keys, "complaint_type", days.alias("days")).agg(F.count("*").alias("n"))
+    by_type = counts.groupBy("unit_id", "period", "complaint_type").agg(F.sum("n").alias("n"))
     types = by_type.groupBy("unit_id", "period").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("complaint_type", "n")))).alias("complaint_counts_by_type"))
-    cells = requests.groupBy(*keys).agg(
-        F.count("*").alias("complaint_count"), F.avg(solved.cast("double")).alias("resolution_rate"),
-        F.percentile(F.when(solved, days), F.lit(0.5)).alias("median_resolution_days"),
+    cells = counts.groupBy("unit_id", "period", "period_start").agg(
+        F.sum("n").alias("complaint_count"),
+        (F.coalesce(F.sum(F.when(F.col("days").isNotNull(), F.col("n"))), F.lit(0)) / F.sum("n")).alias("resolution_rate"),
+        F.percentile("days", F.lit(0.5), F.col("n")).alias("median_resolution_days"),
     )
     return cells.join(types, ["unit_id", "period"])
 

@@ -67,14 +67,15 @@ def extract_topics(requests: DataFrame, query: TopicQuery, custom_rules: dict[st
                    registry: TopicRules | None = None) -> DataFrame:
     """Requests of the query's complaint type (compared as written) with ``topic`` and ``normalized_text``."""
     rules = (registry or TopicRules()).select(query.complaint_type, custom_rules)
-    rows = requests.where(F.col("complaint_type") == query.complaint_type)
-    text = N.topic_text(F.col("descriptor"))
+    # a column of its own: referenced often, so the optimizer computes it once per row
+    rows = requests.where(F.col("complaint_type") == query.complaint_type).withColumn("_text", N.topic_text(F.col("descriptor")))
+    text = F.col("_text")
     if rules:
         topic = F.when(text == "", OTHER).otherwise(rule_topic(text, rules))
         labels = len({label for label, _ in rules} | {OTHER})
     else:
         topic, labels = N.topic_label(text), None
-    out = rows.withColumn("normalized_text", N.topic_label(text)).withColumn("topic", topic)
+    out = rows.withColumns({"normalized_text": N.topic_label(text), "topic": topic}).drop("_text")
     # a rule set of at most top_n labels needs no count of topics, hence no second pass
     return out if labels is not None and labels <= query.top_n else limit_topics(out, query.top_n)
 
