@@ -29,8 +29,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: tables of this process that are still there
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -47,6 +53,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete every table this process wrote to the shared folder; results must be stored before."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def drop_scratch(df: DataFrame | None) -> None:
     """Delete the files behind a table of :func:`materialise` that is not read again."""
     path = getattr(df, "_scratch_path", None)
@@ -54,6 +69,8 @@ def drop_scratch(df: DataFrame | None) -> None:
         jvm = df.sparkSession._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
 
 
 def text_or_empty(name: str = "text") -> Column:
