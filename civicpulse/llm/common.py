@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +100,38 @@ def prefix_sums(df: DataFrame, keys: list[str], weight: str, out: str) -> DataFr
     return dealt.withColumn(out, before.cast("long")).drop("_range")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of whole groups from a stream that is sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        last = np.ones(table.num_rows, bool)
+        for k in keys:
+            column = table.column(k).to_numpy()
+            last &= column == column[-1]
+        cut = table.num_rows - int(last.sum())
+        if cut:
+            yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_bounds(table: pa.Table, keys: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Starts and ends of the groups of two rows or more."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= np.diff(table.column(k).to_numpy()) != 0
+    starts = np.flatnonzero(new)
+    stops = np.r_[starts[1:], len(new)]
+    several = stops - starts > 1
+    return list(zip(starts[several].tolist(), stops[several].tolist(), strict=True))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an undirected graph: rows ``(node, root)``, root the least node.
 

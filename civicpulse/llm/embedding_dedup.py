@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, read_table
+from .common import connected_components, group_bounds, materialise, read_table, whole_groups
 
 CODES, WORDS, CUT = 16, 16, 2.7  # rotations, words of a block, threshold in standard deviations
 CHUNK = 2048
@@ -105,47 +105,15 @@ def _add_filters(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(work, "v long, lab long, n long, least long, vec array<float>, filters array<int>, sketch long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Runs of whole groups from a stream that is sorted by ``keys``."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        last = np.ones(table.num_rows, bool)
-        for k in keys:
-            column = table.column(k).to_numpy()
-            last &= column == column[-1]
-        cut = table.num_rows - int(last.sum())
-        if cut:
-            yield table.slice(0, cut)
-            held = table.slice(cut).combine_chunks().to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _bounds(table: pa.Table, keys: tuple[str, ...]) -> list[tuple[int, int]]:
-    """Starts and ends of the groups of two rows or more."""
-    new = np.zeros(table.num_rows, bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= np.diff(table.column(k).to_numpy()) != 0
-    starts = np.flatnonzero(new)
-    stops = np.r_[starts[1:], len(new)]
-    several = stops - starts > 1
-    return list(zip(starts[several].tolist(), stops[several].tolist(), strict=True))
-
-
 _KEYS = ("lab", "f", "part")
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows that have a partner of a near sketch in their cap."""
-    for table in _groups(batches, _KEYS):
+    for table in whole_groups(batches, _KEYS):
         sketch = table.column("sketch").to_numpy().view(np.uint64)
         keep = np.zeros(table.num_rows, bool)
-        for i, j in _bounds(table, _KEYS):
+        for i, j in group_bounds(table, _KEYS):
             s = sketch[i:j]
             for k in range(0, j - i, 512):
                 near = np.bitwise_count(s[k : k + 512, None] ^ s[None, :]) <= SKETCH_SLACK
@@ -169,14 +137,14 @@ def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
 
 def _verify(cosine: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, _KEYS):
+        for table in whole_groups(batches, _KEYS):
             table = table.combine_chunks()
             v, n, chunk, f = (table.column(c).to_numpy() for c in ("v", "n", "chunk", "f"))
             vec, own = table.column("vec").combine_chunks(), table.column("filters").combine_chunks()
             at, own_at = vec.offsets.to_numpy(), own.offsets.to_numpy()
             values, filters = vec.values, own.values.to_numpy()
             a, b, links = [], [], []
-            for i, j in _bounds(table, _KEYS):
+            for i, j in group_bounds(table, _KEYS):
                 size = int(at[i + 1] - at[i])
                 x = _unit(values.slice(at[i], at[j] - at[i]), size)
                 linked = (x @ x.T) >= cosine

@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, read_table, text_or_empty
+from .common import connected_components, group_bounds, materialise, read_table, text_or_empty, whole_groups
 
-_CHUNK = 1 << 16
+_CHUNK = 1 << 16  # shingles hashed at a time
+CHUNK = 1 << 15  # fingerprints of a bucket that one task compares
 
 
 def simhash64(data: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -99,40 +100,34 @@ def bucket_edges(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def link_edges(nodes: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges ``(a, b)`` that span the links among distinct fingerprints ``fp``."""
+    """Edges ``(a, b)`` that span the links among distinct fingerprints ``fp``.
+
+    A bucket of more than ``CHUNK`` fingerprints is dealt as pairs of chunks to as
+    many tasks, which together compare what one task would.
+    """
     masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius)])
     keyed = nodes.select("fp", F.posexplode(masks).alias("t", "mask")).select(
         F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp"
     )
+    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    large = materialise(large.select(F.col("key").alias("_key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("_chunks")), "large")
+    dealt = keyed.join(large, F.col("key") == F.col("_key"), "left").withColumn("chunks", F.coalesce("_chunks", F.lit(1)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    dealt = dealt.select("key", "fp", "chunk", "chunks", other)
+    part = F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")
+    dealt = dealt.select("key", part.alias("part"), "fp")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.empty(0, np.int64)
-        fps = np.empty(0, np.int64)
-
-        def flush(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch | None:
-            cuts = np.flatnonzero(np.diff(k)) + 1
-            starts, stops = np.r_[0, cuts], np.r_[cuts, len(k)]
-            several = stops - starts > 1
-            out: list[tuple[int, int]] = []
-            for i, j in zip(starts[several].tolist(), stops[several].tolist(), strict=True):
-                out += bucket_edges(f[i:j], radius)
-            if not out:
-                return None
-            pairs = np.array(out, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            keys = np.r_[keys, batch.column(0).to_numpy(zero_copy_only=False)]
-            fps = np.r_[fps, batch.column(1).to_numpy(zero_copy_only=False)]
-            if len(keys) and keys[0] != keys[-1]:
-                last = int(np.searchsorted(keys, keys[-1]))
-                if (done := flush(keys[:last], fps[:last])) is not None:
-                    yield done
-                keys, fps = keys[last:], fps[last:]
-        if len(keys) and (done := flush(keys, fps)) is not None:
-            yield done
-
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(work, "a long, b long")
+        for table in whole_groups(batches, ("key", "part")):
+            fps, out = table.column("fp").to_numpy(), []
+            for i, j in group_bounds(table, ("key", "part")):
+                out += bucket_edges(fps[i:j], radius)
+            if out:
+                pairs = np.array(out, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(work, "a long, b long")
 
 
 def simhash_components(

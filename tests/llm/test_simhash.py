@@ -71,6 +71,36 @@ def test_components_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_a_bucket_beyond_the_chunk_is_exact(spark, monkeypatch):
+    from civicpulse.llm import simhash
+
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(1 << 62))
+    fps = {base}
+    for _ in range(150):
+        fps.add(base ^ sum(1 << int(b) for b in rng.choice(62, int(rng.integers(1, 9)), replace=False)))
+    edges = simhash.link_edges(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    want = brute_components({f: f for f in fps}, 4)
+    got = brute_union(fps, [(r.a, r.b) for r in edges])
+    assert all((r.a ^ r.b).bit_count() <= 4 for r in edges)
+    assert got == want
+
+
+def brute_union(nodes, edges):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {n: find(n) for n in nodes}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_components(df).collect() == []
