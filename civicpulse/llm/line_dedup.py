@@ -11,7 +11,14 @@ common prefix is at least m: a run of m lines found more than once.
 A run counts as repeated when it has at least ``min_words`` words.  The least m
 that reaches them depends on the lines alone, so equal runs share it, and the
 union over the intervals at that depth is the union over all maximal repeated
-runs.  Of the members of an interval the first in corpus order (document id,
+runs up to their ends: of a run's last lines only those stay that a window of at
+least ``min_words`` words does not reach.  That is the contract of the ``op1`` query
+and its SQL.  With ``whole_runs`` (the pipeline's stage) ``min_words`` counts the
+words of the whole maximal run: the windows of a line also grow to every length up
+to where the next line's window ends, so that one of them ends at each line a run
+can end with, and the union is that of all maximal repeated runs.
+
+Of the members of an interval the first in corpus order (document id,
 row, line) stays; the lines of the later copies are deleted, together with blank
 lines inside such a run.  A copy that overlaps its own first occurrence is a
 later copy too.
@@ -53,12 +60,14 @@ def order_ranks(groups: DataFrame, keys: list[str]) -> DataFrame:
     return dealt.select(*keys, (base + F.coalesce(F.sum("n").over(running), F.lit(0))).cast("long").alias("r"))
 
 
-def document_lines(rows: DataFrame, min_words: int) -> DataFrame:
+def document_lines(rows: DataFrame, min_words: int, whole_runs: bool = False) -> DataFrame:
     """One row per non-blank line of ``rows(_row, _id, _text)``.
 
     ``j`` counts non-blank lines, ``raw`` all lines of the document; ``m`` is the
     least number of lines from here that has ``min_words`` words, null if the
-    document ends before.
+    document ends before.  ``upto`` is the longest window that starts here: ``m``,
+    or with ``whole_runs`` the last length at which the lines after this one have
+    fewer than ``min_words`` words.
     """
     trimmed = F.transform(
         F.split("_text", "\n"), lambda x, i: F.struct(i.alias("raw"), F.regexp_replace(x, f"^{_SPACE}+|{_SPACE}+$", "").alias("s"))
@@ -94,24 +103,32 @@ def document_lines(rows: DataFrame, min_words: int) -> DataFrame:
             needed(j).alias("m"),
         ),
     )
-    return lines.select("_row", "_id", F.inline(placed))
+    if not whole_runs:
+        return lines.select("_row", "_id", F.inline(placed)).withColumn("upto", F.col("m"))
+    lines = lines.select("_row", "_id", placed.alias("l"))
+    longest = F.transform(
+        "l", lambda x, j: x.withField("upto", F.greatest(x["m"], F.coalesce(F.get("l", j + 1)["m"], F.size("l") - j)))
+    )
+    return lines.select("_row", "_id", F.inline(longest))
 
 
 def repeated_windows(lines: DataFrame) -> DataFrame:
-    """Later copies ``(_row, j, m)`` of the suffix-array intervals at depth m."""
-    spots = lines.select("_row", "_id", "j", "m", "h1", "h2")
+    """Later copies ``(_row, j, m)`` of the suffix-array intervals at the depths ``m`` to ``upto``."""
+    spots = lines.select("_row", "_id", "j", "m", "upto", "h1", "h2")
     groups = spots.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     ranks = materialise(order_ranks(groups, ["h1", "h2"]), "ranks")
-    level = materialise(spots.join(ranks, ["h1", "h2"]).select("_row", "_id", "j", "m", "r"), "level")
+    level = materialise(spots.join(ranks, ["h1", "h2"]).select("_row", "_id", "j", "m", "upto", "r"), "level")
     depth, found, old = 1, [], []
     while True:
         ahead = level.select("_row", F.col("j").alias("_at"), F.col("r").alias("r2"))
-        # runs whose needed depth m lies between this level and the next: two overlapping prefixes name them
-        due = level.where((F.col("m") >= depth) & (F.col("m") < 2 * depth)).withColumn("_at", F.col("j") + F.col("m") - depth)
+        # windows whose depth lies between this level and the next: two overlapping prefixes name them
+        due = level.where((F.col("upto") >= depth) & (F.col("m") < 2 * depth))
+        sizes = F.sequence(F.greatest("m", F.lit(depth)), F.least("upto", F.lit(2 * depth - 1)))
+        due = due.withColumn("m", F.explode(sizes)).withColumn("_at", F.col("j") + F.col("m") - depth)
         found.append(materialise(due.join(ahead, ["_row", "_at"]).select("_row", "_id", "j", "m", "r", "r2"), "windows"))
         old.append(level)
         pairs = level.withColumn("_at", F.col("j") + depth).join(ahead, ["_row", "_at"]).drop("_at")
-        more = level.agg(F.max("m").alias("m")).first()["m"]
+        more = level.where("m is not null").agg(F.max("upto").alias("m")).first()["m"]
         if more is None or more < 2 * depth:
             break
         pairs = materialise(pairs, "pairs")
@@ -119,7 +136,7 @@ def repeated_windows(lines: DataFrame) -> DataFrame:
         ranks = materialise(
             order_ranks(groups.withColumnRenamed("r", "_r1"), ["_r1", "r2"]).select("_r1", "r2", "r"), "ranks"
         )
-        level = pairs.withColumnRenamed("r", "_r1").join(ranks, ["_r1", "r2"]).select("_row", "_id", "j", "m", "r")
+        level = pairs.withColumnRenamed("r", "_r1").join(ranks, ["_r1", "r2"]).select("_row", "_id", "j", "m", "upto", "r")
         level = materialise(level, "level")
         depth *= 2
     windows = None
@@ -137,9 +154,9 @@ def repeated_windows(lines: DataFrame) -> DataFrame:
     return later
 
 
-def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """Maximal runs to delete: ``(_row, start, stop, n_lines, n_words)``, raw line numbers, both included."""
-    lines = materialise(document_lines(rows, min_words), "lines")
+    lines = materialise(document_lines(rows, min_words, whole_runs), "lines")
     later = repeated_windows(lines)
     gone = later.select("_row", F.explode(F.sequence(F.col("j"), F.col("j") + F.col("m") - 1)).alias("j")).distinct()
     gone = gone.join(lines.select("_row", "j", "raw", "words"), ["_row", "j"])
@@ -151,14 +168,16 @@ def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ).drop("island")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, whole_runs: bool = False
+) -> DataFrame:
     """All rows of ``docs`` with ``_clean`` (text without later copies) and ``_removed``.
 
     ``_removed`` is null where nothing was deleted, else the runs in order as an
     array of structs ``(start, stop, n_lines, n_words)``.
     """
     docs = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-    runs = repeated_runs(docs.select("_row", F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")), min_words)
+    runs = repeated_runs(docs.select("_row", F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")), min_words, whole_runs)
     per_row = runs.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "n_lines", "n_words"))).alias("_removed"))
     out = docs.join(per_row, "_row", "left")
     cut = F.split(text_or_empty(text_col), "\n")
@@ -177,8 +196,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later copies cut out of ``text``; documents left without a word go."""
-    out = line_dedup(docs, min_words=min_words)
+    """``docs`` with later copies of whole runs cut out of ``text``; documents left without a word go."""
+    out = line_dedup(docs, min_words=min_words, whole_runs=True)
     has_word = F.col("_clean").rlike(r"[^\x20\x09-\x0D]")
     out = out.where(F.col("_removed").isNull() | has_word)
     columns = []

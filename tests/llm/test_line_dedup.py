@@ -57,3 +57,38 @@ def test_long_run_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def brute_whole(docs, min_words):
+    """Every repeated run of lines with ``min_words`` words in all, straight from the definition."""
+    first, gone = {}, []
+    for d, (_, text) in enumerate(docs):
+        lines = (text or "").split("\n")
+        seq = [(i, x.strip(WS)) for i, x in enumerate(lines) if x.strip(WS)]
+        bad = set()
+        for i in range(len(seq)):
+            for e in range(i + 1, len(seq) + 1):
+                run = tuple(x for _, x in seq[i:e])
+                if sum(len(x.split()) for x in run) >= min_words and first.setdefault(run, (d, i)) != (d, i):
+                    bad |= set(range(i, e))
+        cut = {seq[j][0] for j in bad}
+        cut |= {k for j in bad if j + 1 in bad for k in range(seq[j][0], seq[j + 1][0])}
+        gone.append("\n".join(x for i, x in enumerate(lines) if i not in cut) if bad else text)
+    return gone
+
+
+@pytest.mark.parametrize("min_words", [1, 4, 10])
+def test_whole_runs_equal_brute_force(spark, min_words):
+    rng = random.Random(min_words)
+    pool = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(8)] + ["", "  ", "one long line of eleven words is here for the test"]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    docs += [(60, None), (61, ""), (62, docs[3][1]), (63, "same\n" * 50), (64, "same\n" * 70 + "end")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r._clean for r in line_dedup(df.repartition(3), min_words=min_words, whole_runs=True).collect()}
+    assert got == {i: t for (i, _), t in zip(docs, brute_whole(docs, min_words), strict=True)}
+
+
+def test_the_stage_leaves_no_tail_of_a_repeated_run(spark):
+    run = "this line is long enough to be a run on its own\nand a short tail"
+    df = spark.createDataFrame([(1, run), (2, "before\n" + run + "\nafter"), (3, run)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in drop_repeated_lines(df).collect()} == {1: run, 2: "before\nafter"}
