@@ -49,8 +49,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-]|\.[0-9])")
 _SSN = re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]|\.[0-9])")
 _SPELT = re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}){1,8}")
-_ASSIGNED = re.compile(r"\s{0,2}[=:]\s{0,2}[\"']?([^\s,;\"'<>]{6,200})")
-_KEY_WORD = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)$")
+# key word and separator are found together, so other assignments consume nothing of a secret;
+# a value ends at the next parameter of a URL, not at any other "&"
+_ASSIGNED = re.compile(
+    r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?(?:[^\s,;\"'<>&]|&(?!(?:amp;)?[\w.%\[\]-]+=)){6,200}"
+)
 _ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 
 #: cue words before a span, by kind
@@ -110,9 +113,7 @@ def more_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
     found: list[tuple[str, int, int]] = []
     if "AKIA" in text or "ASIA" in text:
         found += [("secret", *m.span()) for m in _ACCESS_KEY.finditer(text)]
-    for m in _ASSIGNED.finditer(text):
-        if key := _KEY_WORD.search(text, max(0, m.start() - 24), m.start()):
-            found.append(("secret", key.start(), m.end(1)))
+    found += [("secret", *m.span()) for m in _ASSIGNED.finditer(text)]
     found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     found += [("phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
     if "at]" in text or "at)" in text:

@@ -44,6 +44,17 @@ def test_candidates_do_not_overlap():
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_secrets_after_another_assignment():
+    found = lambda text: [text[a:b] for _, a, b in more_candidates(text, [])]
+    assert found("https://x.org/?user=me&password=hunter22x") == ["password=hunter22x"]
+    assert found("user=me&password=hunter22x1&lang=en") == ["password=hunter22x1"]
+    assert found("see https://h.io/a?api_key=9004e046e75240f4") == ["api_key=9004e046e75240f4"]
+    assert found("env: TOKEN=abcdef123456") == ["TOKEN=abcdef123456"]
+    assert found("password=hunter&22x and &amp;token=abcdef12&amp;b=1") == ["password=hunter&22x", "token=abcdef12"]
+    assert found('{"password": "hunter22x", "n": 1}') == ['password": "hunter22x']
+    assert found("token=password=hunter22x") == ["token=password=hunter22x"]
+
+
 def test_reliabilities_are_recovered():
     rng = np.random.default_rng(0)
     truth = rng.random(20000) < 0.6
