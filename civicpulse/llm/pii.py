@@ -48,11 +48,13 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # candidates beyond the base
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-]|\.[0-9])")
 _SSN = re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]|\.[0-9])")
-_SPELT = re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}){1,8}")
+_SPELT = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[.%+-]*+([A-Za-z0-9_][A-Za-z0-9._%+-]*+) ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++"
+)
 # key word and separator are found together, so other assignments consume nothing of a secret;
 # a value ends at the next parameter of a URL, not at any other "&"
 _ASSIGNED = re.compile(
-    r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?(?:[^\s,;\"'<>&]|&(?!(?:amp;)?[\w.%\[\]-]+=)){6,200}"
+    r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?(?:[^\s,;\"'<>&]|&(?!(?:amp;)?[\w.%\[\]-]+=)){6,}+"
 )
 _ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 
@@ -117,7 +119,7 @@ def more_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
     found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     found += [("phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
     if "at]" in text or "at)" in text:
-        found += [("email", *m.span()) for m in _SPELT.finditer(text)]
+        found += [("email", m.start(1), m.end()) for m in _SPELT.finditer(text)]
     taken, out = sorted((s, e) for _, s, e in base), []
     starts = [s for s, _ in taken]
     for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2])):

@@ -55,6 +55,15 @@ def test_secrets_after_another_assignment():
     assert found("token=password=hunter22x") == ["token=password=hunter22x"]
 
 
+def test_long_secrets_and_addresses_are_whole():
+    text = "token=" + "aB3-" * 90
+    assert more_candidates(text, []) == [("secret", 0, 366)]
+    text = "." + "a.b" * 40 + " [at] " + " [dot] ".join(["x" * 70] + ["sub"] * 12)
+    assert more_candidates(text, []) == [("email", 1, len(text))]
+    for text in ("a." * 200_000 + "[at]", "token=" * 100_000, "token=" + "&" * 300_000, "&a" * 200_000, "password:\n" * 50_000):
+        assert len(more_candidates(text, [])) < 100_000
+
+
 def test_reliabilities_are_recovered():
     rng = np.random.default_rng(0)
     truth = rng.random(20000) < 0.6
