@@ -4,7 +4,9 @@ A text is cut into sentences, each is normalised (lower case, every run of other
 characters than a-z and 0-9 one space; a copyright line whatever its holder is
 ``copyright notice``) and looked up among known licence sentences.  The identifiers found form a string such as
 ``;apache-ref;~;all-rights;`` in which ``~`` marks other text between two of
-them.  Rules are tried in order; each replaces its sequence of identifiers by
+them.  A known sentence is found whole, or cut by line breaks (with comment marks,
+blank lines or a list mark before it) or by full stops inside it: the pieces are
+put together again first.  Rules are tried in order; each replaces its sequence of identifiers by
 its licence, so a rule listed later only sees what earlier rules left.
 
 Defined cases: a null or empty text has no sentences and gives empty results;
@@ -14,7 +16,7 @@ is listed once; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, text_or_empty
@@ -83,6 +85,28 @@ RULES: list[tuple[tuple[str, ...], str]] = [
 RESTRICTED = ("Proprietary", "CC-BY-NC-4.0")
 
 _SPLIT = r"[.!?]+[\x20\x09-\x0D]+|\n+"
+#: between two words of a sentence in pieces: a space, or the end of a piece and comment marks in letters
+_GAP = r"(?: |\|(?:(?:rem|dnl)[ |])*)"
+_LIST_MARK = rf"(?:(?:rem|dnl)[ |])*(?:(?:[0-9]{{1,2}}|[a-d]){_GAP})?"
+
+
+def _in_pieces(sentence: str) -> str:
+    return sentence.replace(" ", _GAP)
+
+
+def joined_pieces(pieces: Column) -> Column:
+    """Normalised pieces of a text with every known sentence put together in one piece."""
+    known = sorted((t for texts in SENTENCES.values() for t in texts if t != "copyright notice"), key=len, reverse=True)
+    text = F.concat(F.lit("|"), F.array_join(pieces, "|"), F.lit("|"))
+    whole = text
+    # "(the License); you may not use" goes on in one sentence, wherever its line ends
+    you, comply = SENTENCES["apache-you"][0], SENTENCES["apache-comply"][0]
+    runs = [((you, comply), rf"{_in_pieces(you)}{_GAP}{_in_pieces(comply)}"), *(((t,), _in_pieces(t)) for t in known)]
+    for texts, pattern in runs:
+        whole = F.regexp_replace(whole, rf"(?<=\|){_LIST_MARK}{pattern}(?=\|)", "|".join(texts))
+    any_known = "|".join(pattern for _, pattern in runs)
+    # most texts have no known sentence and are left as they are
+    return F.when(text.rlike(rf"\|{_LIST_MARK}(?:{any_known})\|"), F.array_remove(F.split(whole, r"\|"), "")).otherwise(pieces)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +124,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.when(s.startswith("copyright "), F.lit("copyright notice")).otherwise(s)
 
     rows = docs.select(F.col(id_col).alias("id"), F.split(text_or_empty(text_col), _SPLIT).alias("s"))
-    rows = rows.select("id", F.transform(F.array_remove(F.transform("s", normal), ""), holder_dropped).alias("s"))
+    rows = rows.select("id", F.array_remove(F.transform("s", normal), "").alias("s"))
+    rows = rows.select("id", F.transform(joined_pieces(F.col("s")), holder_dropped).alias("s"))
     found = F.filter(
         F.transform("s", lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: x["s"].isin(list(known))
     )

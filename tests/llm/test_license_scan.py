@@ -37,5 +37,60 @@ def test_every_rule_is_reachable(spark):
     assert [r[i].licenses for i in range(len(RULES))] == [[x] for _, x in RULES]
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software"""
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this"""
+
+
+def test_wrapped_headers(spark):
+    texts = [APACHE, APACHE.replace('"License");\nyou may', '"License"); you may\n'), MIT, BSD, GPL, MPL]
+    want = ["Apache-2.0", "Apache-2.0", "MIT", "BSD-2-Clause", "GPL-3.0-or-later", "MPL-2.0"]
+    marks = ["", "# ", "// ", " * ", "dnl "]
+    r = scan(spark, *["\n".join(m + line for line in t.split("\n")) for m in marks for t in texts])
+    assert [r[i].licenses for i in range(30)] == [[x] for x in want] * 5
+    assert all(r[i].sentence_ids == ["apache-you", "apache-comply", "apache-copy"] for i in (0, 1, 6, 7))
+    assert not any(r[i].n_unmatched for i in range(30) if i % 6 != 2)  # MIT names a holder
+
+
 def test_empty_table(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
