@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, group_bounds, materialise, read_table, text_or_empty, whole_groups
@@ -154,12 +154,19 @@ def simhash_components(
 def keep_one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of near-duplicates.
 
-    Rows that repeat a kept ``doc_id`` are copies too: one of them stays.
+    Rows are told apart by a key of their own: ids may be null or repeat.
     """
-    kept = simhash_components(docs, shingle=shingle, radius=radius).where("kept").select("id").distinct()
-    rows = docs.join(kept.withColumnRenamed("id", "_keep_id"), docs["doc_id"] == F.col("_keep_id"))
-    order = Window.partitionBy("_keep_id").orderBy(F.length("text").desc_nulls_last())
-    return rows.withColumn("_keep_rank", F.row_number().over(order)).where("_keep_rank = 1").select(docs.columns)
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+    groups = simhash_components(rows, "_row", shingle=shingle, radius=radius).select(F.col("id").alias("_row"), "component_id")
+    return one_row_of_each(rows, groups).select(docs.columns)
+
+
+def one_row_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of each ``component_id`` of ``groups(_row, component_id)``: the least id, then the longest text."""
+    slim = rows.select("_row", "doc_id", F.length("text").alias("_length")).join(groups, "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", -F.coalesce("_length", F.lit(-1)), "_row")).alias("first")
+    kept = slim.groupBy("component_id").agg(first).select(F.col("first")["_row"].alias("_row"))
+    return rows.join(kept, "_row", "left_semi")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

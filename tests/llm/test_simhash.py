@@ -71,6 +71,16 @@ def test_components_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_null_and_repeated_ids_lose_no_text(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = (" ".join(rng.choice([f"w{i}" for i in range(300)], 80)) for _ in range(3))
+    rows = [(5, a), (5, b), (3, b), (None, c), (None, c), (None, a + " " + c), (7, None), (None, "")]
+    kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(5, a), (3, b), (None, c), (None, a + " " + c), (7, None)], key=str
+    )
+
+
 def test_a_bucket_beyond_the_chunk_is_exact(spark, monkeypatch):
     from civicpulse.llm import simhash
 
