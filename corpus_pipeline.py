@@ -13,8 +13,8 @@ from civicpulse.llm.common import materialise, read_table
 from civicpulse.llm.language_id import drop_unidentified
 from civicpulse.llm.line_dedup import drop_repeated_lines
 from civicpulse.llm.mixing import label_domains, resample
+from civicpulse.llm.near_duplicates import drop_near_duplicates
 from civicpulse.llm.packing import pack_documents
-from civicpulse.llm.simhash import keep_one_of_each
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return keep_one_of_each(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8) stays."""
+    return drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Stages 3 to 5 (fingerprints, iterated rates, a tokenizer) are beyond SQL.
+#: Stages 3 to 5 (shingle sets, iterated rates, a tokenizer) are beyond SQL.
 ORACLE_SQL = None
 
 
