@@ -39,8 +39,10 @@ ROUNDS = 40
 RIDGE = 1e-3  # pull of rates to one copy, as a share of all tokens
 #: share of the tokens that each domain of the labelled table should get
 TARGETS = {"clean": 0.97, "junk": 0.03, "toxic": 0.0}
-#: a rate this near to a whole number is that number of copies
-SNAP = 0.1
+#: a rate this near to a whole number is that number of copies: the ridge's own bias
+SNAP = RIDGE
+#: the chances from here on, around the end to the start, add a copy: their share is the rest of a rate
+FIRST_CHANCE = 0.7
 
 
 def _total(columns: list[Column]) -> Column:
@@ -184,17 +186,17 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: lis
 
 
 def copies(rate: Column, chance: Column) -> Column:
-    """Whole copies of a rate: exact near whole numbers, else up with the rest's probability."""
+    """Whole copies of a rate, one more with the rest's probability if ``chance`` is even over [0, 1)."""
     whole = F.round(rate)
-    part = F.floor(rate + chance)
-    return F.when(F.abs(rate - whole) <= SNAP, whole).otherwise(part).cast("int")
+    more = F.pmod(chance - FIRST_CHANCE, F.lit(1.0)) < rate - F.floor(rate)
+    return F.when(F.abs(rate - whole) <= SNAP, whole).otherwise(F.floor(rate) + more.cast("int")).cast("int")
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """Rows of ``docs``, each as often as its rate says; columns unchanged.
 
     Rows equal in every column have one rate and are named by two hashes over all
-    columns.  Documents that stay once, most of them, are not looked up.
+    columns.  Documents that stay once are not looked up.
     """
     keys = {"_k1": F.xxhash64(*docs.columns), "_k2": F.xxhash64(F.lit(7), *docs.columns)}
     rates = mix(docs, labels, targets or TARGETS, [c.alias(n) for n, c in keys.items()])

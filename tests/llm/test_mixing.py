@@ -77,3 +77,27 @@ def test_edge_rows(spark):
 def test_copies(spark):
     r = spark.range(1).select(*[copies(F.lit(a), F.lit(b)).alias(f"c{k}") for k, (a, b) in enumerate([(0.95, 0.0), (2.04, 0.99), (0.3, 0.6), (0.3, 0.75), (0.0, 0.9)])]).first()
     assert list(r) == [1, 2, 0, 1, 0]
+
+
+def test_copies_follow_the_rates(spark):
+    chances = spark.range(1 << 12).select((F.col("id") / float(1 << 12)).alias("c"))
+    for rate in (0.05, 0.3, 0.93, 1.0, 1.07, 2.5):
+        mean = chances.agg(F.avg(copies(F.lit(rate), F.col("c")))).first()[0]
+        assert abs(mean - rate) < 1e-3
+
+
+def test_realised_totals_meet_the_fitted_ones(spark):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(4000):
+        kind = "junk" if i % 36 == 0 else "clean"  # 2.8 % junk: a budget of 0.93 at the targets
+        words = [f"{kind}{k}" for k in rng.integers(0, 40, 30)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, kind))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, domain string")
+    targets = {"clean": 0.97, "junk": 0.03}
+    fitted = {r.doc_id: r.rate for r in mix(docs, marks, targets, [F.col("doc_id")]).collect()}
+    clean = sum(r for i, r in fitted.items() if i % 36)
+    assert 0.9 < clean / sum(1 for i in fitted if i % 36) < 0.96
+    kept = [r.doc_id for r in resample(docs, marks, targets).collect()]
+    assert abs(sum(1 for i in kept if i % 36) - clean) < 80  # five standard deviations
