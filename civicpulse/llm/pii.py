@@ -5,19 +5,21 @@ wider net proposes more candidates: telephone numbers without a country code,
 addresses written with "at" and "dot", numbers of the form of a social security
 number, secrets and access keys.  Labelers (regular expressions, gazetteers of
 cue words and of placeholders, and the context) vote yes, no or abstain on every
-candidate, base ones included.  Expectation-maximisation over the counts of all
-vote patterns estimates how reliable each labeler is; its posteriors train a
-logistic span classifier on the shape and context features, weighted by the
-counts of all candidates.  A candidate that the classifier accepts and that
-overlaps no base span becomes a span.
+candidate, base ones included.  No labeler and no feature says whether a candidate
+is a base one.  Expectation-maximisation over the counts of all vote patterns of a
+kind estimates how reliable each labeler is on that kind, under a prior that a vote
+is more often right than wrong; its posteriors train one logistic span classifier
+on the kind, the shape and the context, weighted by the counts of all candidates.
+A candidate that the classifier accepts and that overlaps no base span becomes a span.
 
-The patterns and features take a bounded number of values (3 ** 6 and 2 ** 8), so
-what reaches the driver are two small tables of counts over the whole corpus.
+The patterns and features take a bounded number of values (3 ** 6 and 2 ** 8 per
+kind), so what reaches the driver is one small table of counts over the whole corpus.
 
 Defined cases: a null text counts as empty and has no spans; matches that fail
 their check (parts of an ip, digits, Luhn) are dropped without another try;
-offsets are code points, the end excluded; repeated rows are scanned each; an
-empty table gives no rows and trains nothing; other columns are ignored.
+offsets are code points, the end excluded; very long texts are scanned whole, in
+time linear in their length; repeated rows are scanned each; an empty table gives
+no rows and trains nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,16 +62,22 @@ _ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-
 
 #: cue words before a span, by kind
 CUES = {
-    "email": ("email", "mail", "contact", "write"),
+    "email": ("email", "e-mail", "mail", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "credit", "payment"),
     "phone": ("phone", "call", "tel", "mobile", "fax", "contact"),
     "ssn": ("ssn", "social", "security"),
-    "secret": ("password", "passwd", "pwd", "secret", "token", "key"),
+    "secret": ("password", "passwd", "pwd", "credential", "login", "auth", "bearer"),
 }
+#: words that name other numbers and codes
+OTHER = ("version", "release", "order", "invoice", "part no", "isbn", "model", "page", "serial", "example", "e.g.")
 #: values that documentation uses as placeholders
 PLACEHOLDERS = ("0.0.0.0", "127.0.0.1", "255.255.255.255", "password", "changeme", "secret", "xxxx", "0000000000", "1234567890", "none", "null", "true", "false")
-_LABELERS = 6
+LABELERS = ("shape", "cue", "placeholder", "context", "variety", "other")
+FEATURES = ("shape", "cue", "placeholder", "bounded", "numeric_near", "variety", "mixed", "other")
+_NUMERIC_BEFORE = re.compile(r"[0-9]\s*\Z")
+_NUMERIC_AFTER = re.compile(r"\s*[0-9]")
+_KEY = re.compile(r"[^=:]*[=:]\s*[\"']?")
 
 
 def _luhn(digits: str) -> bool:
@@ -129,84 +137,110 @@ def more_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
     return out
 
 
-def votes_and_features(text: str, kind: str, start: int, end: int, is_base: bool) -> tuple[int, int]:
+def votes_and_features(text: str, kind: str, start: int, end: int) -> tuple[int, int]:
     """Votes of the labelers in base 3 (0 no, 1 abstain, 2 yes) and feature bits of a candidate."""
     value = text[start:end]
     lower = value.lower()
     before = text[max(0, start - 40) : start]
     digits = _digits(value)
-    cue = any(c in before.lower() for c in CUES[kind]) or (kind == "secret" and any(c in lower for c in CUES[kind]))
+    core = lower  # what tells a secret from a word: the value behind the key word
+    if kind == "secret" and (key := _KEY.match(lower)):
+        core = lower[key.end() :]
+    near = before.lower()
+    cue = any(c in near or (kind == "secret" and c in lower) for c in CUES[kind])
+    other = any(w in near for w in OTHER)
     placeholder = any(lower.endswith(p) for p in PLACEHOLDERS) or (len(digits) > 6 and len(set(digits)) < 3)
     bounded = (not before or not before[-1].isalnum()) and (end >= len(text) or not text[end].isalnum())
-    numeric_near = bool(re.search(r"[0-9]\s*$", before) or re.match(r"\s*[0-9]", text[end : end + 4]))
-    variety = len(set(lower)) >= 6
-    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    numeric_near = bool(_NUMERIC_BEFORE.search(before) or _NUMERIC_AFTER.match(text[end : end + 4]))
+    variety = len(set(core)) >= 6 and not (kind == "secret" and core.isalpha())
+    mixed = any(c.isdigit() for c in core) and any(c.isalpha() for c in core)
     if kind == "email":
         shape = "." in value or "dot" in lower
     elif kind == "secret":
-        shape = mixed and variety
+        shape = mixed and len(core) >= 6
     elif kind == "ssn":
         shape = digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
-    elif kind == "phone" and not is_base:
+    elif kind == "phone" and value[0] != "+":
         shape = digits[0] not in "01" and digits[3] not in "01"
     else:
         shape = True
     votes = (
-        2 if is_base else 1,  # fixed pattern
-        2 if shape else 0,  # shape of the kind
+        2 if shape else 0,  # regular expressions: form of the kind
         2 if cue else 1,  # gazetteer of cue words
         0 if placeholder else 1,  # gazetteer of placeholders
-        2 if bounded and not numeric_near else 0,  # context
+        2 if bounded and not numeric_near else 0,  # context: stands alone
         2 if variety else 0,  # variety of characters
+        0 if other else 1,  # context: named as something else
     )
-    bits = (shape, cue, placeholder, bounded, numeric_near, variety, mixed, is_base)
+    bits = (shape, cue, placeholder, bounded, numeric_near, variety, mixed, other)
     return sum(v * 3**k for k, v in enumerate(votes)), sum(int(b) << k for k, b in enumerate(bits))
 
 
-def estimate(patterns: dict[int, int], rounds: int = 60) -> tuple[dict[int, float], np.ndarray]:
+#: prior of a labeler's votes (no, abstain, yes) on wrong and right candidates, and its weight:
+#: so many candidates, and such a share of all of the kind
+_PRIOR = np.array([[0.45, 0.35, 0.2], [0.1, 0.35, 0.55]])
+_PRIOR_ROWS, _PRIOR_SHARE = 40.0, 0.02
+RIDGE = 1e-5  # of the span classifier; every kind weighs 1
+
+
+def estimate(patterns: dict[int, float], rounds: int = 60) -> tuple[dict[int, float], np.ndarray]:
     """Posterior of each vote pattern and the labelers' tables ``(labeler, class, vote)``.
 
-    Two-class Dawid-Skene by expectation-maximisation over pattern counts,
-    started from the share of yes votes among the votes cast.
+    Two-class Dawid-Skene by expectation-maximisation over pattern counts, started
+    from the share of yes votes among the votes cast.  The prior on the tables ties
+    the second class to yes votes: candidates on which all agree stay in one class.
     """
     keys = sorted(patterns)
+    labelers = len(LABELERS)
     if not keys:
-        return {}, np.full((_LABELERS, 2, 3), 1 / 3)
-    votes = np.array([[k // 3**j % 3 for j in range(_LABELERS)] for k in keys])
+        return {}, np.full((labelers, 2, 3), 1 / 3)
+    votes = np.array([[k // 3**j % 3 for j in range(labelers)] for k in keys])
     n = np.array([patterns[k] for k in keys], float)
     cast = np.maximum((votes != 1).sum(axis=1), 1)
     p = np.clip((votes == 2).sum(axis=1) / cast, 0.05, 0.95)
+    rows = _PRIOR_ROWS + _PRIOR_SHARE * n.sum()
+    pull = _PRIOR * rows
     for _ in range(rounds):
         weight = np.stack([n * (1 - p), n * p])
-        prior = (weight.sum(axis=1) + 1) / (n.sum() + 2)
-        table = np.empty((_LABELERS, 2, 3))
-        for j in range(_LABELERS):
-            for v in range(3):
-                table[j, :, v] = weight[:, votes[:, j] == v].sum(axis=1) + 0.5
+        prior = (weight.sum(axis=1) + rows / 2) / (n.sum() + rows)
+        table = np.stack([[[c[votes[:, j] == v].sum() for v in range(3)] for c in weight] for j in range(labelers)]) + pull
         table /= table.sum(axis=2, keepdims=True)
-        score = np.log(prior)[:, None] + sum(np.log(table[j][:, votes[:, j]]) for j in range(_LABELERS))
+        score = np.log(prior)[:, None] + sum(np.log(table[j][:, votes[:, j]]) for j in range(labelers))
         p = 1 / (1 + np.exp(np.clip(score[0] - score[1], -700, 700)))
     return dict(zip(keys, p.tolist(), strict=True)), table
 
 
+def _row_of(cell: int) -> list[int]:
+    """Features of a classifier cell: the bits, one entry per kind (its intercept)."""
+    bits, kind = cell & 255, cell >> 8
+    return [bits >> k & 1 for k in range(8)] + [int(kind == k) for k in range(len(KINDS))]
+
+
 def train_classifier(weighted: list[tuple[int, float, float]], rounds: int = 400) -> np.ndarray:
-    """Logistic regression on feature bits; rows ``(bits, count, mean posterior)``; intercept last."""
+    """Logistic regression; rows ``(kind << 8 | bits, count, mean posterior)``."""
+    size = len(_row_of(0))
     if not weighted:
-        return np.zeros(9)
-    x = np.array([[b >> k & 1 for k in range(8)] + [1] for b, _, _ in weighted], float)
+        return np.zeros(size)
+    x = np.array([_row_of(c) for c, _, _ in weighted], float)
     n, y = np.array([w[1] for w in weighted], float), np.array([w[2] for w in weighted])
-    n = n / n.sum()
-    w = np.zeros(9)
+    # every kind weighs the same, however many candidates another kind has
+    kinds = np.array([c >> 8 for c, _, _ in weighted])
+    n = n / np.bincount(kinds, n, len(KINDS))[kinds]
+    w = np.zeros(size)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(9)
-        step = np.linalg.solve(hessian, x.T @ (n * (p - y)) + 1e-3 * w)
-        w -= step
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(size)
+        step = np.linalg.solve(hessian, x.T @ (n * (p - y)) + RIDGE * w)
+        w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-9:
             break
     return w
 
 
+def accept_probability(weights: np.ndarray, cell: int) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(_row_of(cell), weights))))))
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, rows = batch.column(0), []
@@ -215,16 +249,16 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text)
             spans = [(*s, True) for s in base] + [(*s, False) for s in more_candidates(text, base)]
             rows.append([
-                {"kind": k, "start": s, "end": e, "base": b, "votes": v, "bits": f}
-                for k, s, e, b in spans for v, f in [votes_and_features(text, k, s, e, b)]
+                {"kind": k, "start": s, "end": e, "base": b, "votes": v, "cell": KINDS.index(k) << 8 | f}
+                for k, s, e, b in spans for v, f in [votes_and_features(text, k, s, e)]
             ])
         yield pa.RecordBatch.from_arrays([ids, pa.array(rows, _SPANS)], names=["id", "found"])
 
 
 _SPANS = pa.list_(
-    pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.int32()), ("bits", pa.int32())])
+    pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.int32()), ("cell", pa.int32())])
 )
-_FOUND = "id long, found array<struct<kind:string,start:bigint,end:bigint,base:boolean,votes:int,bits:int>>"
+_FOUND = "id long, found array<struct<kind:string,start:bigint,end:bigint,base:boolean,votes:int,cell:int>>"
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.5) -> DataFrame:
@@ -235,28 +269,26 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     found = materialise(texts.mapInArrow(_find, _FOUND), "pii")
     each = found.select(F.explode("found").alias("s"))
-    cells = each.groupBy(F.col("s.votes").alias("votes"), F.col("s.bits").alias("bits")).count().collect()
-    patterns: dict[int, int] = {}
-    for r in cells:
-        patterns[r["votes"]] = patterns.get(r["votes"], 0) + r["count"]
-    posterior, _ = estimate(patterns)
-    by_bits: dict[int, list[float]] = {}
-    for r in cells:
-        own = by_bits.setdefault(r["bits"], [0.0, 0.0])
-        own[0] += r["count"]
-        own[1] += r["count"] * posterior[r["votes"]]
-    weights = train_classifier([(b, n, s / n) for b, (n, s) in sorted(by_bits.items())])
-
-    def probability(bits: int) -> float:
-        z = sum(weights[k] for k in range(8) if bits >> k & 1) + weights[8]
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
-    table = F.create_map(*[F.lit(x) for b in sorted(by_bits) for x in (b, probability(b))]) if by_bits else None
+    cells = each.groupBy(F.col("s.votes").alias("votes"), F.col("s.cell").alias("cell")).count().collect()
+    cells = [(r["votes"], r["cell"], r["count"]) for r in cells]
+    means: dict[int, list[float]] = {}
+    for kind in range(len(KINDS)):
+        own = [c for c in cells if c[1] >> 8 == kind]
+        patterns: dict[int, float] = {}
+        for votes, _, n in own:
+            patterns[votes] = patterns.get(votes, 0) + n
+        posterior, _ = estimate(patterns)
+        for votes, cell, n in own:
+            total = means.setdefault(cell, [0.0, 0.0])
+            total[0] += n
+            total[1] += n * posterior[votes]
+    weights = train_classifier([(c, n, s / n) for c, (n, s) in sorted(means.items())])
+    table = F.create_map(*[F.lit(x) for c in sorted(means) for x in (c, accept_probability(weights, c))]) if means else None
     scored = F.transform(
         "found",
         lambda s: F.struct(
             s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"),
-            (F.element_at(table, s["bits"]) if table is not None else F.lit(0.0)).alias("score"),
+            (F.element_at(table, s["cell"]) if table is not None else F.lit(0.0)).alias("score"),
         ),
     )
     return found.select("id", F.filter(scored, lambda s: s["base"] | (s["score"] >= accept)).alias("spans"))
@@ -265,6 +297,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: list[list[int]] = []
+        added: list[list[int]] = []
         shas, joined = [], []
         for spans in batch.column(1).to_pylist():
             named = lambda some: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in some)
@@ -273,16 +306,20 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append([sum(s["kind"] == k for s in base) for k in BASE])
             shas.append(hashlib.sha256(named(base).encode()).hexdigest())
             joined.append(named(spans))
+            added.append([sum(s["kind"] == k for s in spans) for k in KINDS[4:]] + [len(spans)])
         columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]
+        more = [pa.array([c[k] for c in added], pa.int64()) for k in range(3)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *columns, pa.array(shas, pa.string()), pa.array(joined, pa.string())],
-            names=["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans"],
+            [batch.column(0), *columns, pa.array(shas, pa.string()), pa.array(joined, pa.string()), *more],
+            names=["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_ssn", "n_secret", "n_spans"],
         )
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of personal data in all documents."""
+    """Spans of personal data in all documents; ``n_spans`` counts base and added ones."""
     found = pii_spans(read_table(spark, sf_dir, "documents"))
     return found.mapInArrow(
-        _digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+        _digest,
+        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
+        "n_ssn long, n_secret long, n_spans long",
     )

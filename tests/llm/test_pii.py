@@ -1,9 +1,11 @@
+import os
 import random
 import re
 
 import numpy as np
+import pytest
 
-from civicpulse.llm.pii import _luhn, base_spans, estimate, more_candidates, pii_spans, train_classifier
+from civicpulse.llm.pii import _luhn, base_spans, estimate, more_candidates, pii_spans, train_classifier, votes_and_features
 
 
 def brute(text):
@@ -90,3 +92,57 @@ def test_spans_of_a_corpus(spark):
     assert all([k for k, *_ in sorted(got[i])] == ["email", "phone", "secret"] for i in range(60))
     assert got[100] == got[101] == got[102] == got[104] == [] and got[103] == [("email", 2, 8)]
     assert pii_spans(df.limit(0)).collect() == []
+
+
+def planted(i):
+    """Texts that hold one piece of personal data each, alone and mostly without a cue, and its kind."""
+    key = "".join(random.Random(i).choices("0123456789abcdef", k=40))
+    return [
+        (f"words before ({200 + i % 700}) {200 + i % 700}-{1000 + i} words after", "phone"),
+        (f"words {'social security number ' if i % 2 else ''}{100 + i % 500}-{10 + i % 80}-{1000 + i} words", "ssn"),
+        (f"reach name{i} [at] mail{i} [dot] org please", "email"),
+        (f'some prose token = "{key}" more prose', "secret"),
+        (f"dsn postgres password=Pw{i}x{i * 7919}q", "secret"),
+        (f"export AKIA{key[:16].upper()} now", "secret"),
+    ]
+
+
+def test_planted_spans_come_out_and_clean_ones_do_not(spark):
+    rows = [(6 * i + k, text, kind) for i in range(100) for k, (text, kind) in enumerate(planted(i))]
+    clean = [t for i in range(60) for t in (
+        f"the secret: everything about password: nothing{'s' * (i % 3)}",
+        f"order {i}12-00-0000 and part no 000-12-{3000 + i}",
+        f"version 10.{i}.3 of 2024-01-{10 + i % 18}",
+        "set token = changeme or password=xxxxxxxx",
+    )]
+    base = [(10_000 + i, f"mail a{i}@b.org, 10.0.0.{i}, 4111 1111 1111 1111, +1 415 555 26{i:02}", "base") for i in range(100)]
+    docs = [(i, t) for i, t, _ in [*rows, *base]] + [(20_000 + k, t) for k, t in enumerate(clean)]
+    got = {r.id: [(s.kind, s.base) for s in r.spans] for r in pii_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for kind in ("phone", "ssn", "email", "secret"):
+        mine = [i for i, _, k in rows if k == kind]
+        assert sum((kind, False) in got[i] for i in mine) >= 0.9 * len(mine), kind
+    assert all(len(got[i]) == 4 for i, _, _ in base)
+    assert sum(bool(got[20_000 + k]) for k in range(len(clean))) <= 0.02 * len(clean)
+
+
+def test_base_ones_give_no_hint():
+    text = "x +1 415 555 2671 y (415) 555-2671 z"
+    one, other = (votes_and_features(text, "phone", *s) for s in ((2, 17), (20, 34)))
+    assert one == other
+
+
+def test_secrets_of_the_driver_tables(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no driver tables here")
+    docs = spark.read.parquet(path)
+    want = {r.doc_id for r in docs.where(docs.text.rlike(r'token = "[0-9a-f]{40}"')).collect()}
+    got = {r.id for r in pii_spans(docs).collect() if any(s.kind == "secret" for s in r.spans)}
+    assert want and got == want
+
+
+def test_very_long_text(spark):
+    text = "word " * 400_000 + 'token = "9004e046e75240f42eecdbd3dffbc7f3" a@b.org'
+    docs = spark.createDataFrame([(i, text if i == 0 else f"x token = \"{i:040x}\" y") for i in range(30)], "doc_id long, text string")
+    spans = next(r.spans for r in pii_spans(docs).collect() if r.id == 0)
+    assert [(s.kind, s.start) for s in spans] == [("email", len(text) - 7), ("secret", 2_000_000)]
