@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +22,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where a session has none (tests on one machine) a local one is made.
+    Only where a session on one machine (tests) has none a local one is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share.")
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "civicpulse-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -76,6 +79,32 @@ def drop_scratch(df: DataFrame | None) -> None:
             _WRITTEN.remove(path)
 
 
+def set_apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns renamed so that no working column can clash, and the new names by old."""
+    names = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def put_back(rows: DataFrame, names: dict[str, str], changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns that :func:`set_apart` renamed, under their old names; ``changed`` replaces some."""
+    changed = changed or {}
+    return rows.select(*[changed.get(c, F.col(inner)).alias(c) for c, inner in names.items()])
+
+
+def _holds(kind: T.DataType, *sorts: type) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds(f.dataType, *sorts) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _holds(kind.elementType, *sorts)
+    return isinstance(kind, sorts)
+
+
+def row_hashes(rows: DataFrame) -> tuple[Column, Column]:
+    """Two hashes over all columns; maps and variants, which cannot be hashed, by their JSON."""
+    columns = [F.to_json(F.struct(f.name)) if _holds(f.dataType, T.MapType, T.VariantType) else F.col(f.name) for f in rows.schema]
+    return F.xxhash64(*columns), F.xxhash64(F.lit(7), *columns)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

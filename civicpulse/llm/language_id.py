@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, text_or_empty
+from .common import materialise, put_back, read_table, row_hashes, set_apart, text_or_empty
 
 TRAIN_ROWS = 4000  # bound of the labelled sample
 MAX_LANGUAGES = 64  # most frequent in that sample
@@ -224,11 +224,13 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
     Rows equal in every column share their verdict, so the rejected ones are named
     by two hashes over all columns; that table is small where documents are sound.
     """
-    key = [F.xxhash64(*docs.columns).alias("_k1"), F.xxhash64(F.lit(7), *docs.columns).alias("_k2")]
-    rows = docs.select(*_document_evidence(), *key)
-    found = identify(rows, train(docs.select("text", F.col("lang").cast("string").alias("lang"))), ["_k1", "_k2"])
-    rejected = materialise(found.where(~F.col("kept")).select("_k1", "_k2").distinct(), "rejected")
-    return docs.withColumns({"_k1": key[0], "_k2": key[1]}).join(rejected, ["_k1", "_k2"], "left_anti").select(docs.columns)
+    rows, names = set_apart(docs)
+    k1, k2 = row_hashes(rows)
+    rows = rows.withColumns({"k1": k1, "k2": k2})
+    known = rows.select("k1", "k2", *[F.col(names[c]).alias(c) for c in ("text", "lang", "source")])
+    found = identify(known.select(*_document_evidence(), "k1", "k2"), train(known.select("text", F.col("lang").cast("string").alias("lang"))), ["k1", "k2"])
+    rejected = materialise(found.where(~F.col("kept")).select("k1", "k2").distinct(), "rejected")
+    return put_back(rows.join(rejected, ["k1", "k2"], "left_anti"), names)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

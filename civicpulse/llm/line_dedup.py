@@ -26,8 +26,9 @@ later copy too.
 Defined cases: a null or blank text has no lines and is returned as it is;
 documents that repeat a whole earlier document lose all lines and get an empty
 text; repeated rows are copies like any other (one of them stays); rows with a
-null id come first in corpus order; an empty table gives no rows; every column of
-the input is carried along, whatever its name.
+null id come first in corpus order; very long texts are cut into lines whole; an
+empty table gives no rows; every column of the input is carried along, whatever its
+name.
 """
 
 from __future__ import annotations
@@ -35,29 +36,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialise, read_table, text_or_empty
+from .common import drop_scratch, materialise, prefix_sums, put_back, read_table, set_apart, text_or_empty
 
 MIN_WORDS = 10
 _SPACE = r"[\x20\x09-\x0D]"
 
 
 def order_ranks(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``r``: how many suffixes (column ``n``) lie in groups before this one.
-
-    Groups are dealt by range of their keys and summed within a range; only one
-    sum per range reaches the driver.
-    """
-    spark = groups.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = groups.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id())
-    dealt = materialise(dealt, "ranks")
-    before, offset = 0, {}
-    for row in dealt.groupBy("_range").agg(F.sum("n").alias("n")).orderBy("_range").collect():
-        offset[row["_range"]], before = before, before + row["n"]
-    pairs = [F.lit(x) for k, v in offset.items() for x in (k, v)]
-    base = F.element_at(F.create_map(*pairs), F.col("_range")) if pairs else F.lit(0)
-    running = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.select(*keys, (base + F.coalesce(F.sum("n").over(running), F.lit(0))).cast("long").alias("r"))
+    """``keys`` and ``r``: how many suffixes (column ``n``) lie in groups before this one."""
+    return prefix_sums(groups.select(*keys, "n"), keys, "n", "r").drop("n")
 
 
 def document_lines(rows: DataFrame, min_words: int, whole_runs: bool = False) -> DataFrame:
@@ -174,41 +161,45 @@ def line_dedup(
     """All rows of ``docs`` with ``_clean`` (text without later copies) and ``_removed``.
 
     ``_removed`` is null where nothing was deleted, else the runs in order as an
-    array of structs ``(start, stop, n_lines, n_words)``.
+    array of structs ``(start, stop, n_lines, n_words)``.  Columns of the input that
+    have these two names give way to them.
     """
-    docs = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-    runs = repeated_runs(docs.select("_row", F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")), min_words, whole_runs)
-    per_row = runs.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "n_lines", "n_words"))).alias("_removed"))
-    out = docs.join(per_row, "_row", "left")
-    cut = F.split(text_or_empty(text_col), "\n")
-    out = out.withColumn("_lines", F.when(F.col("_removed").isNotNull(), cut))
+    rows, names = set_apart(docs)
+    names = {c: inner for c, inner in names.items() if c not in ("_clean", "_removed")}
+    out = _cleaned(rows, names[id_col], names[text_col], min_words, whole_runs)
+    return out.select(*[F.col(inner).alias(c) for c, inner in names.items()], F.col("clean").alias("_clean"), F.col("removed").alias("_removed"))
+
+
+def _cleaned(rows: DataFrame, id_col: str, text_col: str, min_words: int, whole_runs: bool) -> DataFrame:
+    """``rows`` (set apart) with ``clean`` and ``removed``."""
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "docs")
+    texts = rows.select(F.col("row").alias("_row"), F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
+    runs = repeated_runs(texts, min_words, whole_runs)
+    per_row = runs.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "n_lines", "n_words"))).alias("removed"))
+    out = rows.join(per_row.withColumnRenamed("_row", "row"), "row", "left")
+    out = out.withColumn("lines", F.when(F.col("removed").isNotNull(), F.split(text_or_empty(text_col), "\n")))
     gaps = F.transform(
-        F.sequence(F.lit(0), F.size("_removed")),
+        F.sequence(F.lit(0), F.size("removed")),
         lambda k: F.slice(
-            F.col("_lines"),
-            F.coalesce(F.get("_removed", k - 1)["stop"] + 2, F.lit(1)),
-            F.coalesce(F.get("_removed", k)["start"], F.size("_lines"))
-            - F.coalesce(F.get("_removed", k - 1)["stop"] + 1, F.lit(0)),
+            F.col("lines"),
+            F.coalesce(F.get("removed", k - 1)["stop"] + 2, F.lit(1)),
+            F.coalesce(F.get("removed", k)["start"], F.size("lines")) - F.coalesce(F.get("removed", k - 1)["stop"] + 1, F.lit(0)),
         ),
     )
-    clean = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(gaps), "\n"))
-    return out.withColumn("_clean", clean).drop("_lines", "_row")
+    clean = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(gaps), "\n"))
+    return out.withColumn("clean", clean)
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies of whole runs cut out of ``text``; documents left without a word go."""
-    out = line_dedup(docs, min_words=min_words, whole_runs=True)
-    has_word = F.col("_clean").rlike(r"[^\x20\x09-\x0D]")
-    out = out.where(F.col("_removed").isNull() | has_word)
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.col("_clean").alias("text"))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("_removed").isNull(), F.col(c)).otherwise(F.length("_clean")).cast(docs.schema[c].dataType).alias(c))
-        else:
-            columns.append(F.col(c))
-    return out.select(*columns)
+    rows, names = set_apart(docs)
+    out = _cleaned(rows, names["doc_id"], names["text"], min_words, True)
+    out = out.where(F.col("removed").isNull() | F.col("clean").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.col("clean")}
+    if "n_chars" in names:
+        own = F.col(names["n_chars"])
+        changed["n_chars"] = F.when(F.col("removed").isNull(), own).otherwise(F.length("clean").cast(docs.schema["n_chars"].dataType))
+    return put_back(out, names, changed)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, text_or_empty
+from .common import materialise, put_back, read_table, row_hashes, set_apart, text_or_empty
 
 TRAIN_ROWS = 20_000
 WORDS = 1 << 14  # words kept, the most significant first
@@ -198,14 +198,17 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     Rows equal in every column have one rate and are named by two hashes over all
     columns.  Documents that stay once are not looked up.
     """
-    keys = {"_k1": F.xxhash64(*docs.columns), "_k2": F.xxhash64(F.lit(7), *docs.columns)}
-    rates = mix(docs, labels, targets or TARGETS, [c.alias(n) for n, c in keys.items()])
-    chance = F.pmod(F.xxhash64(F.lit(3), "_k1"), F.lit(1 << 20)) / float(1 << 20)
-    changed = rates.select("_k1", "_k2", copies(F.col("rate"), chance).alias("_copies")).where("_copies != 1")
-    changed = materialise(changed.groupBy("_k1", "_k2").agg(F.max("_copies").alias("_copies")), "copies")
-    rows = docs.withColumns(keys).join(changed, ["_k1", "_k2"], "left")
-    rows = rows.withColumn("_copies", F.coalesce("_copies", F.lit(1))).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    rows, names = set_apart(docs)
+    k1, k2 = row_hashes(rows)
+    rows = rows.withColumns({"k1": k1, "k2": k2})
+    known = rows.select("k1", "k2", F.col(names["doc_id"]).alias("doc_id"), F.col(names["text"]).alias("text"))
+    rates = mix(known, labels, targets or TARGETS, [F.col("k1").alias("k1"), F.col("k2").alias("k2")])
+    chance = F.pmod(F.xxhash64(F.lit(3), "k1"), F.lit(1 << 20)) / float(1 << 20)
+    changed = rates.select("k1", "k2", copies(F.col("rate"), chance).alias("copies")).where("copies != 1")
+    changed = materialise(changed.groupBy("k1", "k2").agg(F.max("copies").alias("copies")), "copies")
+    rows = rows.join(changed, ["k1", "k2"], "left")
+    rows = rows.withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
+    return put_back(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), names)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, text_or_empty
-from .simhash import one_row_of_each
+from .common import connected_components, materialise, put_back, text_or_empty
+from .simhash import numbered, one_row_of_each
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -130,5 +130,6 @@ def near_components(rows: DataFrame, shingle: int = SHINGLE, similarity: float =
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of near-duplicates; columns unchanged."""
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-    return one_row_of_each(rows, near_components(rows, shingle, similarity)).select(docs.columns)
+    rows, names = numbered(docs)
+    groups = near_components(rows.select(F.col("row").alias("_row"), F.col(names["text"]).alias("text")), shingle, similarity)
+    return put_back(one_row_of_each(rows, groups.withColumnRenamed("_row", "row"), names), names)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, group_bounds, materialise, read_table, text_or_empty, whole_groups
+from .common import connected_components, group_bounds, materialise, put_back, read_table, set_apart, text_or_empty, whole_groups
 
 _CHUNK = 1 << 16  # shingles hashed at a time
 CHUNK = 1 << 15  # fingerprints of a bucket that one task compares
@@ -156,17 +156,24 @@ def keep_one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> Data
 
     Rows are told apart by a key of their own: ids may be null or repeat.
     """
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-    groups = simhash_components(rows, "_row", shingle=shingle, radius=radius).select(F.col("id").alias("_row"), "component_id")
-    return one_row_of_each(rows, groups).select(docs.columns)
+    rows, names = numbered(docs)
+    groups = simhash_components(rows, "row", names["text"], shingle=shingle, radius=radius).select(F.col("id").alias("row"), "component_id")
+    return put_back(one_row_of_each(rows, groups, names), names)
 
 
-def one_row_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of each ``component_id`` of ``groups(_row, component_id)``: the least id, then the longest text."""
-    slim = rows.select("_row", "doc_id", F.length("text").alias("_length")).join(groups, "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", -F.coalesce("_length", F.lit(-1)), "_row")).alias("first")
-    kept = slim.groupBy("component_id").agg(first).select(F.col("first")["_row"].alias("_row"))
-    return rows.join(kept, "_row", "left_semi")
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` set apart and stored with ``row``, a number for every row."""
+    rows, names = set_apart(docs)
+    return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "docs"), names
+
+
+def one_row_of_each(rows: DataFrame, groups: DataFrame, names: dict[str, str]) -> DataFrame:
+    """One row of each ``component_id`` of ``groups(row, component_id)``: the least id, then the longest text."""
+    own = F.col(names["doc_id"])
+    slim = rows.select("row", own.alias("doc_id"), F.length(names["text"]).alias("length")).join(groups, "row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", -F.coalesce("length", F.lit(-1)), "row")).alias("first")
+    kept = slim.groupBy("component_id").agg(first).select(F.col("first")["row"].alias("row"))
+    return rows.join(kept, "row", "left_semi")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
