@@ -63,13 +63,20 @@ def normalize_requests(raw: DataFrame, key: str = "unique_key", district: str =
 
 
 def validated(df: DataFrame, mode: str = "strict") -> DataFrame:
-    """``strict``: a bad row fails the job when it is read; ``quarantine``: bad rows are left out."""
+    """``strict``: any bad row fails every job on the result, whatever its columns and filters;
+    ``quarantine``: bad rows are left out.
+
+    The strict check is a filter that column pruning cannot drop.  It is not
+    deterministic for the optimizer, so later filters stay above it and no bad row
+    is filtered away unseen; in ``quarantine`` mode they reach the scan.
+    """
+    sound = F.size("_errors") == 0
     if mode == "quarantine":
-        return df.where(F.size("_errors") == 0).drop("_errors")
+        return df.where(sound).drop("_errors")
     if mode != "strict":
         raise ValueError(f"Unknown mode: {mode!r}.")
-    ok = F.when(F.size("_errors") > 0, F.raise_error(F.concat(F.lit("Invalid request row: "), F.array_join("_errors", "; "))))
-    return df.withColumn("service_request_id", F.coalesce(ok.cast("string"), F.col("service_request_id"))).drop("_errors")
+    message = F.concat(F.lit("Invalid request row: "), F.array_join("_errors", "; "))
+    return df.where(F.when(sound, F.rand(0) >= 0).otherwise(F.raise_error(message).cast("boolean"))).drop("_errors")
 
 
 def quarantined(df: DataFrame) -> DataFrame:

@@ -46,6 +46,13 @@ def test_bad_rows_fail_or_are_set_apart(spark, tmp_path):
     path.write_text(HEADER + ROWS + "4,nonsense,Rodent,x,bk,x,,40.7,,\n5,2024-01-01,,x,bk,x,,10,10,\n")
     with pytest.raises(Exception, match="Invalid request row"):
         requests.load_service_requests_from_csv(spark, str(path)).collect()
+    strict = requests.load_service_requests_from_csv(spark, str(path))
+    rodent = ServiceRequestFilter(complaint_types=("Rodent",))
+    some = requests.load_service_requests_from_csv(spark, str(path), rodent)
+    for job in (strict.count, strict.groupBy("borough").count().collect, strict.select("borough").collect, strict.where("borough = 'none'").collect,
+                strict.where("complaint_type = 'Rodent'").count, some.count, strict.limit(100).count):
+        with pytest.raises(Exception, match="Invalid request row"):
+            job()
     assert requests.load_service_requests_from_csv(spark, str(path), mode="quarantine").count() == 3
     raw = requests.read_raw_csv(spark, str(path))
     bad = requests.quarantined(requests.normalize_requests(raw, district="community_board")).orderBy("service_request_id").collect()
