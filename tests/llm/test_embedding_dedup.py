@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from civicpulse.llm.embedding_dedup import embedding_components
 
@@ -80,3 +82,64 @@ def test_recall_at_the_threshold(spark):
 
 def test_empty_table(spark):
     assert embedding_components(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def near_pairs(n, cosine, dim=64, seed=2):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((n, dim))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, cosine * x + np.sqrt(1 - cosine**2) * z
+
+
+@pytest.mark.parametrize(("in_cap", "words"), [(64, 8), (4, 16), (1, 32), (0.2, 64)])
+def test_recall_of_the_filters(spark, monkeypatch, in_cap, words):
+    from civicpulse.llm import embedding_dedup as E
+
+    monkeypatch.setattr(E, "SMALL", 0)
+    monkeypatch.setattr(E, "IN_CAP", in_cap)
+    x, y = near_pairs(500, 0.931)
+    rows = [(2 * i + k, v[i].tolist(), 0) for i in range(500) for k, v in enumerate((x, y))]
+    assert spark.range(1).select(E.words_of(F.lit(1000))).first()[0] == words
+    got = run(spark, rows)
+    assert sum(r[1] for r in got) >= 0.98 * 1000
+    assert all(r[1] <= 1 for r in got)
+
+
+def test_filters_equal_the_full_products():
+    from civicpulse.llm import embedding_dedup as E
+
+    x, _ = near_pairs(50, 0.5, dim=10)
+    cut = E.threshold(10, 8, 0.93)
+    turns, left, right = E._codebooks(10, 8)
+    for v, got in zip(x, E.decode_filters(x, 8, cut), strict=True):
+        score = np.concatenate([((v @ t)[:5] @ a.T)[:, None] + ((v @ t)[5:] @ b.T)[None, :] for t, a, b in zip(turns, left, right, strict=True)]).ravel()
+        assert set(got.tolist()) == set(np.flatnonzero(score >= cut).tolist()) | {int(score.argmax())}
+
+
+def test_compared_share_falls_as_rows_grow(spark):
+    from civicpulse.llm import embedding_dedup as E
+
+    share, caps = {}, {}
+    for n in (4_000, 16_000, 64_000):
+        words = spark.range(1).select(E.words_of(F.lit(n))).first()[0]
+        x = np.random.default_rng(n).standard_normal((4000, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        lists = E.decode_filters(x, words, E.threshold(64, words, 0.93))
+        sizes = np.bincount(np.concatenate(lists)) / len(x)
+        share[n], caps[n] = float((sizes**2).sum()), np.mean([len(f) for f in lists])
+    assert share[16_000] < 0.7 * share[4_000] and share[64_000] < 0.7 * share[16_000], (share, caps)
+    assert max(caps.values()) < 26
+
+
+def test_components_of_any_size(spark):
+    rows = [(0, [1e200, 1e200], 1), (1, [1e-200, 1.1e-200], 1), (2, [3.0, 3.0], 1), (3, [1e200, -1e200], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted((r.id, r.n_links, r.component_id) for r in embedding_components(df).collect()) == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 0, 3)]
+
+
+def test_null_ids_and_labels_of_any_type(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0], "a"), (None, [1.0, 0.0], "a"), (3, [1.0, 0.1], "a"), (4, [1.0, 0.1], "b")], "vec_id long, embedding array<float>, label string")
+    assert sorted(((r.id or -1), r.n_links, r.component_id, r.kept) for r in embedding_components(df).collect()) == [(-1, 2, 3, False), (-1, 2, 3, False), (3, 2, 3, True), (4, 0, 4, True)]
