@@ -1,23 +1,28 @@
 """Soft-membership mixing to target weights, in DataFrame functions only.
 
-A naive Bayes classifier over the presence of words, fitted on labelled documents, gives
-every document a posterior over the domains.  Nonnegative rates (expected copies)
-are then fitted to all documents so that the expected token totals of the domains
-meet the targets: a least-squares problem solved by projected gradient steps.  A
-step needs only sums of the size of the number of domains over the documents and
-is scaled by the second moments of those that are not at the bound.
+A naive Bayes classifier over the presence of words and of marks of style (symbols,
+words said twice in a row), fitted on labelled documents, gives every document a
+posterior over the domains.  Nonnegative rates (expected copies) are then fitted to
+all documents so that the expected token totals of the domains meet the targets:
+least squares by projected gradient.  All rates start at one copy; a step takes the
+gap of every domain from the totals, moves each document's rate against its
+posterior-weighted gaps and cuts it off at the bound.  A round is one sum of the size
+of the number of domains over all documents; the rates follow from the posteriors, the
+steps since and a table of rates that is stored every few rounds.
 
 The classifier is fitted on at most ``TRAIN_ROWS`` labelled documents, least by
-hash; it keeps words with a marked and significant preference for a domain, at most
-``WORDS`` of them, which bounds what is broadcast.  Counts, totals and rates
-cover all documents.
+hash.  A word counts where its preference for a domain is marked and significant in
+that sample; there is no cap on their number, and their table is broadcast only
+up to ``BROADCAST_WORDS`` rows and joined beyond.  Counts, totals and rates cover all
+documents and all words of their texts.
 
 Defined cases: a null or empty text has no words and gets the domain priors and
 no tokens, so its rate stays 1; labels of unknown domains and labels without a
 document are ignored, a document with two labels counts for both; without labels
 all domains are equally likely; rows that repeat are documents of their own; a
 target of domains without any tokens cannot be met and the rates are the
-least-squares ones; an empty table gives no rows.
+least-squares ones (:func:`totals` tells what is met); very long texts are cut into
+words whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,31 +33,51 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, put_back, read_table, row_hashes, set_apart, text_or_empty
+from .common import drop_scratch, materialise, put_back, read_table, row_hashes, set_apart, text_or_empty
 
 TRAIN_ROWS = 20_000
-WORDS = 1 << 14  # words kept, the most significant first
+BROADCAST_WORDS = 200_000  # rows of the classifier's table (a hash and a weight per domain) that may be broadcast
 SIGNIFICANT = 4.0  # standard deviations of a word's log-ratio
 EFFECT = 1.5  # least size of a log-ratio: weaker preferences go with topic or language, and add up
-MIN_SHARE = 0.03  # of a domain's documents that have a word that speaks for it
-ROUNDS = 40
-RIDGE = 1e-3  # pull of rates to one copy, as a share of all tokens
+ROUNDS = 60
+STORED = 6  # steps between two tables of rates
+PROGRESS = 1e-3  # least relative gain of a round
+RIDGE = 1e-6  # pull of rates to one copy: of rates that meet the targets alike, those nearest to it
 #: share of the tokens that each domain of the labelled table should get
 TARGETS = {"clean": 0.97, "junk": 0.03, "toxic": 0.0}
-#: a rate this near to a whole number is that number of copies: the ridge's own bias
+#: a rate this near to a whole number is that number of copies: rounding error and the ridge's own bias
 SNAP = RIDGE
 #: the chances from here on, around the end to the start, add a copy: their share is the rest of a rate
 FIRST_CHANCE = 0.7
+#: upper ends of the classes of a share that a mark of style has among the words
+_SHARES = (0.0, 0.05, 0.2, 0.5)
 
 
 def _total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def _words(text: Column) -> Column:
-    """Hashes of the distinct lower-case words of a text."""
-    words = F.array_distinct(F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), ""))
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _tokens(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
+
+
+def _style(name: str, count: Column, n: Column) -> Column:
+    """A pseudo word: the class of the share of ``count`` in ``n``."""
+    share = count / F.greatest(n, F.lit(1))
+    level = reduce(lambda rest, k: F.when(share <= _SHARES[k], F.lit(k)).otherwise(rest), reversed(range(len(_SHARES))), F.lit(len(_SHARES)))
+    return F.concat(F.lit(f"\x00{name}"), level.cast("string"))
+
+
+def _with_words(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``n_tokens`` and ``_words``: hashes of the distinct words (letters and digits only) and marks of style."""
+    text = text_or_empty(text)
+    rows = rows.withColumn("_tokens", _tokens(text))
+    n = F.size("_tokens")
+    again = F.size(F.filter(F.col("_tokens"), lambda w, k: (k > 0) & (w == F.get(F.col("_tokens"), k - 1))))
+    marks = F.array(_style("again", again, n), _style("symbols", F.regexp_count(text, F.lit("[#*$%&|<>]+")), n))
+    bare = F.array_distinct(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
+    words = F.when(n > 0, F.transform(F.concat(bare, marks), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+    return rows.withColumn("n_tokens", n.cast("long")).withColumn("_words", words).drop("_tokens")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -63,7 +88,9 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 def _score_words(words: DataFrame, weights: DataFrame, names: list[str], k: range) -> DataFrame:
     """Summed log-ratios ``s0, ...`` per row of ``words`` and flags ``e0, ...`` of words that speak for a domain."""
-    scored = words.join(F.broadcast(weights), "word", "left")  # at most WORDS rows
+    if weights.count() <= BROADCAST_WORDS:  # a stored table: the count reads no data
+        weights = F.broadcast(weights)
+    scored = words.join(weights, "word", "left")
     sums = [F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in k]
     flags = [F.coalesce(F.max(F.col(f"w{i}") > 0), F.lit(False)).alias(f"e{i}") for i in k]
     return scored.groupBy(*names).agg(*sums, *flags)
@@ -77,7 +104,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tu
     texts = docs.select(F.col("doc_id").alias("_doc_id"), "text")
     some = texts.join(F.broadcast(sample), F.col("_doc_id") == F.col("doc_id"))
     some = some.dropDuplicates(["domain", "text"])  # copies are no evidence of their own
-    some = some.select(F.monotonically_increasing_id().alias("_row"), "domain", _words(text_or_empty("text")).alias("_words"))
+    some = _with_words(some.select(F.monotonically_increasing_id().alias("_row"), "domain", "text"), "text")
     words = materialise(some.select("_row", "domain", F.explode_outer("_words").alias("word")), "sample")
     k = range(len(domains))
     rows = {r["domain"]: r["n"] for r in words.groupBy("domain").agg(F.countDistinct("_row").alias("n")).collect()}
@@ -89,12 +116,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tu
         own, rest = F.col(f"c{i}") + 0.5, everything - F.col(f"c{i}") + 0.5
         ratio = F.log(own / (size[i] + 1)) - F.log(rest / (sum(size) - size[i] + 1))
         z = F.abs(ratio) / F.sqrt(1 / own + 1 / rest)
-        common = (F.col(f"c{i}") >= MIN_SHARE * size[i]) | (everything - F.col(f"c{i}") >= MIN_SHARE * (sum(size) - size[i]))
-        ok = (z >= SIGNIFICANT) & (F.abs(ratio) >= EFFECT) & common
+        ok = (z >= SIGNIFICANT) & (F.abs(ratio) >= EFFECT)
         columns.append(F.when(ok, ratio).otherwise(0.0).alias(f"w{i}"))
         sure.append(F.when(ok, z).otherwise(0.0))
     weights = counts.select("word", *columns, (F.greatest(*sure) if len(sure) > 1 else sure[0]).alias("z")).where("z > 0")
-    weights = materialise(weights.orderBy(F.desc("z"), "word").limit(WORDS).drop("z"), "words")
+    weights = materialise(weights.drop("z"), "words")
     prior = [float(np.log((n + 1) / (sum(size) + len(domains)))) for n in size]
 
     flagged = _score_words(words, weights, ["_row", "domain"], k)
@@ -113,11 +139,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], keep: lis
     """``keep`` columns, ``n_tokens`` and ``p0, p1, ...`` of every row of ``docs``."""
     weights, prior, absence = fit_classifier(docs, labels, domains)
     k = range(len(domains))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"), *keep,
-        F.regexp_count(text_or_empty("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"),
-        _words(text_or_empty("text")).alias("_words"),
-    )
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col("text").alias("_text"))
+    rows = _with_words(rows, "_text").drop("_text")
     names = [c for c in rows.columns if c != "_words"]
     words = rows.select(*names, F.explode_outer("_words").alias("word"))
     scored = _score_words(words, weights, names, k)
@@ -130,50 +153,84 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], keep: lis
     return scored.select(*names, *[(mass[i] / _total(mass)).alias(f"p{i}") for i in k])
 
 
+def _sums(table: DataFrame, rate: Column, lower: float, k: range) -> tuple[np.ndarray, np.ndarray]:
+    """Expected totals of the domains at ``rate`` and second moments of the rows that are not at the bound."""
+    now = table.withColumn("_rate", rate)
+    free = F.when(F.col("_rate") > lower, F.col("n_tokens")).otherwise(0)
+    sums = [F.sum(F.col("_rate") * F.col("n_tokens") * F.col(f"p{i}")).alias(f"a{i}") for i in k]
+    moments = [F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in k for j in range(i + 1)]
+    got = now.agg(*sums, *moments).first()
+    at = lambda name: float(got[name] or 0)
+    return np.array([at(f"a{i}") for i in k]), np.array([[at(f"m{max(i, j)}_{min(i, j)}") for j in k] for i in k])
+
+
 def fit_rates(table: DataFrame, targets: list[float], lower: float = 0.0, budget: float | None = None, rounds: int = ROUNDS) -> DataFrame:
     """Add ``rate`` to ``table(n_tokens, p0, p1, ...)``.
 
-    Minimises ``|A r - T|^2 / S + RIDGE * sum n (r - 1)^2`` over ``r >= lower``:
-    ``A r`` are the expected domain totals, ``T`` the targets, ``S`` all tokens.
-    Of the many rates that meet the targets the ridge picks those nearest to one
-    copy.  At the minimum the rates are ``max(lower, 1 - p . u)`` for one vector
-    ``u``, so a projected gradient step on all documents is a step of ``u``, and a
-    round is one sum over all rows; only sums of the size of the domains come back.
+    Minimises ``(A r - T)' W (A r - T) / 2 + RIDGE * sum n (r - 1)^2 / 2`` over ``r >= lower``:
+    ``A r`` are the expected domain totals, ``T`` the targets, ``W`` the inverse second moments
+    of the posteriors, in which domains that overlap are told apart.  A step on the rate of a
+    row with posteriors ``p``, in the metric of its tokens ``n``, is
+    ``r - step * (p V (A r - T) + RIDGE (r - 1))``, cut off at ``lower``; ``V`` are the inverse
+    second moments of the rows that are not at the bound (a two-metric projection, which goes
+    down for every such ``V``).  The step is halved as long as the cut makes it worse.  Every
+    ``STORED`` steps the rates are stored.
 
     ``budget`` is the number of tokens of the mixture; by default the largest for
     which no domain needs more tokens than it has.
     """
     k = range(len(targets))
     share = np.array(targets, float) / sum(targets)
-    have = table.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * F.col(f"p{i}")).alias(f"a{i}") for i in k]).first()
-    scale = RIDGE * max(float(have["n"] or 0), 1.0)
-    have = np.array([float(have[f"a{i}"] or 0) for i in k])
+    columns = table.columns
+    have, moments = _sums(table, F.lit(1.0), -1.0, k)
     if budget is None:
         budget = min((have[i] / share[i] for i in k if share[i] > 0), default=0.0)
-    want = share * budget
-    u, best, step = np.zeros(len(share)), (np.inf, np.zeros(len(share)), np.zeros(len(share))), 1.0
+    want, weight = share * budget, np.linalg.pinv(moments, rcond=1e-9, hermitian=True)
+    state, moves, stored = table.withColumn("_start", F.when(F.col("n_tokens") > 0, F.greatest(F.lit(1.0), F.lit(float(lower)))).otherwise(1.0)), [], None
 
-    def rate(u: np.ndarray) -> Column:
-        move = 1.0 - _total([F.col(f"p{i}") * float(u[i]) for i in k])
-        return F.when(F.col("n_tokens") > 0, F.greatest(F.lit(float(lower)), move)).otherwise(1.0)
+    def rate(steps: list[tuple[float, np.ndarray]]) -> Column:
+        r = F.col("_start")
+        for step, gap in steps:
+            pull = _total([F.col(f"p{i}") * float(step * gap[i]) for i in k])
+            r = F.greatest(F.lit(float(lower)), r * (1 - step * RIDGE) + step * RIDGE - pull)
+        return F.when(F.col("n_tokens") > 0, r).otherwise(1.0)
 
+    def loss(total: np.ndarray) -> float:
+        return float((total - want) @ weight @ (total - want))
+
+    total, moments = _sums(state, rate(moves), lower, k)
+    size, smallest = max(want.sum(), have.sum(), 1.0), 1.0
     for _ in range(rounds):
-        now = table.withColumn("rate", rate(u))
-        free = F.when(F.col("rate") > lower, F.col("n_tokens")).otherwise(0)
-        sums = [F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p{i}")).alias(f"a{i}") for i in k]
-        moments = [F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in k for j in range(i + 1)]
-        got = now.agg(*sums, *moments).first()
-        gap = u * scale - (np.array([float(got[f"a{i}"] or 0) for i in k]) - want)
-        size = float(np.abs(gap).max())
-        if size < best[0]:
-            hessian = np.array([[float(got[f"m{max(i, j)}_{min(i, j)}"] or 0) for j in k] for i in k]) + scale * np.eye(len(share))
-            best, step = (size, u, np.linalg.solve(hessian, gap)), 1.0
-        else:
-            step /= 2  # the set of documents at the bound changed: a shorter step from the best point
-        if best[0] <= 1e-6 * max(want.sum(), 1.0) or step < 1e-3:
+        if np.abs(total - want).max() <= 1e-7 * size:
+            break
+        # the gradient in the metric of the rows that can move: without the cut a whole step closes the gaps
+        gap, step = np.linalg.pinv(moments, rcond=1e-6, hermitian=True) @ (total - want), smallest
+        if not np.abs(gap).max() > 0:
+            break  # every row that could move is at the bound
+        tried, seen = _sums(state, rate([*moves, (step, gap)]), lower, k)
+        if loss(tried) >= loss(total):
+            smallest /= 2
+            if smallest < 1e-3:
+                break
+            continue
+        gained = loss(total) - loss(tried)
+        moves.append((step, gap))
+        total, moments, smallest = tried, seen, min(1.0, 2 * smallest)
+        if gained <= PROGRESS * loss(total):
             break
-        u = best[1] - step * best[2]
-    return table.withColumn("rate", rate(best[1]))
+        if len(moves) == STORED:
+            state = materialise(state.withColumn("_start", rate(moves)), "rates")
+            drop_scratch(stored)
+            stored, moves = state, []
+    return state.withColumn("rate", rate(moves)).select(*columns, "rate")
+
+
+def totals(rated: DataFrame, domains: list[str]) -> DataFrame:
+    """What a fitted mixture holds: ``(domain, tokens, mixed)``, expected tokens at one copy and at the rates."""
+    one = [F.sum(F.col("n_tokens") * F.col(f"p{i}")).alias(f"a{i}") for i in range(len(domains))]
+    mixed = [F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p{i}")).alias(f"b{i}") for i in range(len(domains))]
+    rows = [F.struct(F.lit(d).alias("domain"), F.col(f"a{i}").alias("tokens"), F.col(f"b{i}").alias("mixed")) for i, d in enumerate(domains)]
+    return rated.agg(*one, *mixed).select(F.inline(F.array(*rows)))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: list[Column], lower: float = 0.0, budget: float | None = None) -> DataFrame:

@@ -101,3 +101,84 @@ def test_realised_totals_meet_the_fitted_ones(spark):
     assert 0.9 < clean / sum(1 for i in fitted if i % 36) < 0.96
     kept = [r.doc_id for r in resample(docs, marks, targets).collect()]
     assert abs(sum(1 for i in kept if i % 36) - clean) < 80  # five standard deviations
+
+
+def test_posteriors_equal_brute_force(spark):
+    """The classifier straight from its definition, over all words and marks of style."""
+    import math
+    import re
+
+    from civicpulse.llm import mixing
+
+    rows, labels = corpus()
+    rows = [(i, t, *rest) for i, t, *rest in rows]
+    rows += [(2000, None, "s", ""), (2001, "", "s", ""), (2002, "w1 w1 w1 w1 w1", "s", ""), (2003, "a%%% b### c$$$ TOXIC1***", "s", ""), (2004, "junk1, junk2; é", "s", "")]
+    names = ["clean", "junk", "toxic"]
+    marks = {i: ("toxic" if t else "clean" if q else "junk") for i, q, t in labels}
+
+    def words(text):
+        tokens = [w for w in re.split(r"[\x20\x09-\x0d]+", (text or "").lower()) if w]
+        if not tokens:
+            return set(), 0
+        share = lambda x: sum(x / len(tokens) > b for b in (0, 0.05, 0.2, 0.5))
+        again = sum(a == b for a, b in zip(tokens, tokens[1:], strict=False))
+        found = {w for w in re.split(r"[^\w]|_", (text or "").lower()) if w}
+        return found | {f"\0again{share(again)}", f"\0symbols{share(len(re.findall(r'[#*$%&|<>]+', text)))}"}, len(tokens)
+
+    sample = {(marks[i], t) for i, t, *_ in rows if i in marks}
+    size = [sum(d == n for d, _ in sample) for n in names]
+    vocabulary, weight = {w for _, t in sample for w in words(t)[0]}, {}
+    for w in vocabulary:
+        c = [sum(d == n and w in words(t)[0] for d, t in sample) for n in names]
+        for k in range(3):
+            own, rest = c[k] + 0.5, sum(c) - c[k] + 0.5
+            ratio = math.log(own / (size[k] + 1)) - math.log(rest / (sum(size) - size[k] + 1))
+            if abs(ratio) >= mixing.EFFECT and abs(ratio) / math.sqrt(1 / own + 1 / rest) >= mixing.SIGNIFICANT:
+                weight.setdefault(w, [0.0] * 3)[k] = ratio
+    speaks = lambda t, k: any(weight.get(w, (0, 0, 0))[k] > 0 for w in words(t)[0])
+    silent = []
+    for k, n in enumerate(names):
+        own = [t for d, t in sample if d == n]
+        other = [t for d, t in sample if d != n]
+        share = lambda ts, k=k: (sum(not speaks(t, k) for t in ts) + 1) / (len(ts) + 2)
+        silent.append(math.log(share(own)) - math.log(share(other)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rate string, domain string")
+    table = mixing.posteriors(docs, label_domains(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), names, [F.col("doc_id")])
+    got = {r.doc_id: r for r in table.collect()}
+    for i, t, *_ in rows:
+        found, n = words(t)
+        score = [math.log((size[k] + 1) / (sum(size) + 3)) + sum(weight.get(w, (0, 0, 0))[k] for w in found) + (silent[k] if n and not speaks(t, k) else 0) for k in range(3)]
+        p = np.exp(np.array(score) - max(score))
+        assert got[i].n_tokens == n and np.allclose([got[i].p0, got[i].p1, got[i].p2], p / p.sum(), atol=1e-9), (i, t)
+
+
+def test_held_out_accuracy_and_targets(spark):
+    import os
+
+    import pytest
+
+    from civicpulse.llm import mixing
+
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no driver tables here")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    marks = label_domains(spark.read.parquet(f"{path}/labels.parquet"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    table = mix(docs, marks.where(~held), mixing.TARGETS, [F.col("doc_id").alias("doc_id")]).cache()
+    best = F.expr("CASE greatest(p0, p1, p2) WHEN p0 THEN 'clean' WHEN p1 THEN 'junk' ELSE 'toxic' END")
+    right = table.join(marks.where(held & F.col("domain").isNotNull()), "doc_id").agg(F.avg((best == F.col("domain")).cast("int"))).first()[0]
+    assert right > 0.92  # one in seven toxic labels is on a text that says nothing toxic
+    mixed = {r.domain: r.mixed for r in mixing.totals(table, list(mixing.TARGETS)).collect()}
+    total = sum(mixed.values())
+    # so about 1 % of toxic mass is everywhere
+    assert all(abs(mixed[d] / total - w) < 0.015 for d, w in mixing.TARGETS.items()), mixed
+    table.unpersist()
+
+
+def test_very_long_text(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows] + [(5000, "w1 w2 toxic1 " * 300_000)], "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    r = next(r for r in mix(docs, label_domains(marks), {"clean": 0.9, "junk": 0.1, "toxic": 0.0}, [F.col("doc_id")]).collect() if r.doc_id == 5000)
+    assert r.n_tokens == 900_000 and r.p2 > 0.9
