@@ -2,18 +2,25 @@
 
 Evidence on a row: the likelihood of its text under byte-bigram models, the
 language its markup declares, the suffix of its address, and a prior of its host
-smoothed towards its domain and the domain's towards the corpus.  The three
-tables besides the text model are grouped aggregations of the text-only decision
-over all rows; a row's own vote is taken out of its host's and domain's counts.
-The bigram models are fitted on at most ``TRAIN_ROWS`` labelled documents, taken
-in hash order.
+smoothed towards its domain (where it has one) and the domain's towards the corpus.
+The three tables besides the text model are grouped aggregations of the text-only
+decision over all rows; a row's own vote is taken out of its host's and domain's
+counts.
+
+The bigram models are fitted on a bounded sample of labelled documents: per language
+at most ``TRAIN_ROWS`` distinct texts, those least by hash, so that neither a frequent
+language nor a text with many copies crowds out others.  A document's ``lang`` is what
+it declares; where it was a training label it is held out of the evidence on its row.
 
 Defined cases: a text that is null or has at most ``MIN_BYTES`` bytes says nothing and
 the other evidence decides; missing markup, suffix or host say nothing; declared
 languages that no model knows are evidence like any other value; without labelled
 rows nothing can be recognised (language null, not kept); text that fits no model
 (it falls short of the training mean by ``MARGIN`` nats a byte and ``SLACK`` nats
-besides) is ``und``; repeated rows are judged each; an empty table gives no rows.
+besides) is ``und``; repeated rows are judged each; very long texts are read whole, a
+megabyte at a time, and markup is stripped in time linear in the page; more than
+``MAX_MODELS`` languages in the labels raise an error (their tables would not fit a
+worker), none is dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +31,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, put_back, read_table, row_hashes, set_apart, text_or_empty
 
-TRAIN_ROWS = 4000  # bound of the labelled sample
-MAX_LANGUAGES = 64  # most frequent in that sample
+TRAIN_ROWS = 2000  # bound of the labelled sample: distinct texts of a language
+MAX_MODELS = 512  # a model is a table of 256 KB on every worker
 TEMPER = 0.2  # bigrams of a text are not independent
 MARGIN = 1.5
 SLACK = 300.0  # nats that a text of any length may fall short by: names and codes weigh on short texts
@@ -39,14 +46,37 @@ MIN_POSTERIOR = 0.5
 MIN_BYTES = 3  # shorter texts say nothing
 _SLICE = 1 << 20
 
-_HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->")
-_TAG = re.compile(rb"(?s)<[^>]*>")
+_OPEN = re.compile(rb"(?i)<(?:(script|style)\b|!--)")
+_CLOSE = {b"script": re.compile(rb"(?i)</script\s*>"), b"style": re.compile(rb"(?i)</style\s*>"), None: re.compile(rb"-->")}
 _ENTITIES = ((b"&lt;", b"<"), (b"&gt;", b">"), (b"&quot;", b'"'), (b"&nbsp;", b" "), (b"&#39;", b"'"), (b"&amp;", b"&"))
 
 
+def _without_hidden(html: bytes) -> bytes:
+    """Scripts, styles and comments as one space each; those that never end are left."""
+    out, done, at, endless = [], 0, 0, set()
+    while len(endless) < len(_CLOSE) and (m := _OPEN.search(html, at)):
+        kind = m[1].lower() if m[1] else None
+        end = None if kind in endless else _CLOSE[kind].search(html, m.end())
+        if end is None:
+            endless.add(kind)  # nor does any later one of its kind end
+            at = m.start() + 1
+            continue
+        out += [html[done : m.start()], b" "]
+        done = at = end.end()
+    return b"".join([*out, html[done:]])
+
+
+def _without_tags(html: bytes) -> bytes:
+    out, done = [], 0
+    while (start := html.find(b"<", done)) >= 0 and (end := html.find(b">", start)) >= 0:
+        out += [html[done:start], b" "]
+        done = end + 1
+    return b"".join([*out, html[done:]])
+
+
 def visible(html: bytes) -> bytes:
     """Text of a page without scripts, styles, comments and tags; common entities resolved."""
-    text = _TAG.sub(b" ", _HIDDEN.sub(b" ", html))
+    text = _without_tags(_without_hidden(html))
     if b"&" in text:
         for entity, plain in _ENTITIES:
             text = text.replace(entity, plain)
@@ -60,16 +90,39 @@ def _pairs(data: bytes) -> Iterator[np.ndarray]:
         yield (part[:-1] << 8) | part[1:]
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _label_hash(text: Column, lang: Column) -> Column:
+    return F.xxhash64(text, lang)
+
+
+def sample_edges(labelled: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, int]:
+    """Per language the greatest hash of ``labelled(text, lang)`` that is in the sample."""
+    says = labelled.where(F.col("lang").isNotNull() & (F.octet_length(text_or_empty()) > MIN_BYTES))
+    keys = says.select("lang", _label_hash(F.col("text"), F.col("lang")).alias("h")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    edges = keys.withColumn("place", place).where(F.col("place") <= rows).groupBy("lang").agg(F.max("h").alias("h"))
+    found = {r["lang"]: r["h"] for r in edges.limit(MAX_MODELS + 1).collect()}
+    if len(found) > MAX_MODELS:
+        raise ValueError(f"The labels name more than {MAX_MODELS} languages.")
+    return found
+
+
+def _in_sample(text: Column, lang: Column, edges: dict[str, int]) -> Column:
+    if not edges:
+        return F.lit(False)
+    edge = F.element_at(F.create_map(*[F.lit(x) for pair in edges.items() for x in pair]), lang)
+    return F.coalesce((_label_hash(text, lang) <= edge) & (F.octet_length(F.coalesce(text, F.lit(""))) > MIN_BYTES), F.lit(False))
+
+
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS, edges: dict[str, int] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probabilities ``(65536, languages)`` and mean log-likelihoods.
 
-    ``labelled(text, lang)``: the rows least by hash are the sample, counted where
-    they lie; what reaches the driver is one count per language and byte pair.
+    ``labelled(text, lang)``: the sample is counted where it lies; what reaches the
+    driver is one count per language and byte pair.
     """
-    keyed = labelled.where("lang is not null").withColumn("h", F.xxhash64("text", "lang"))
-    edge = [r["h"] for r in keyed.select("h").orderBy("h").limit(rows).agg(F.max("h").alias("h")).collect()][0]
-    if edge is None:
+    edges = sample_edges(labelled, rows) if edges is None else edges
+    if not edges:
         return [], np.zeros((65536, 0), np.float32), np.zeros(0)
+    sample = labelled.where(_in_sample(F.col("text"), F.col("lang"), edges)).select("text", "lang").dropDuplicates()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -85,13 +138,9 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
                 [pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(counts[some])], names=["lang", "pair", "n"]
             )
 
-    # equal rows share a hash, so a hash up to the edge may stand for more rows: they say the same
-    counts = keyed.where(F.col("h") <= F.lit(edge)).select(text_or_empty().alias("text"), "lang").mapInArrow(
-        count, "lang string, pair long, n long"
-    )
+    counts = sample.select(text_or_empty().alias("text"), "lang").mapInArrow(count, "lang string, pair long, n long")
     got = counts.groupBy("lang", "pair").agg(F.sum("n").alias("n")).toPandas()
-    sizes = got.groupby("lang")["n"].sum().sort_values(ascending=False)
-    langs = sorted(sizes.index[:MAX_LANGUAGES])
+    langs = sorted(edges)
     table = np.zeros((65536, len(langs)))
     for k, lang in enumerate(langs):
         own = got[got["lang"] == lang]
@@ -136,7 +185,8 @@ def _counts(votes: DataFrame, key: list[str], langs: int, name: str) -> DataFram
 
 
 def _without_own(counts: Column, k: int) -> Column:
-    return F.coalesce(counts[k], F.lit(0)) - F.when(F.col("vote") == k, 1).otherwise(0)
+    """Votes for ``k`` without the row's own; none where the key is missing."""
+    return F.when(counts.isNull(), 0).otherwise(counts[k] - F.when(F.col("vote") == k, 1).otherwise(0))
 
 
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
@@ -192,18 +242,20 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
     )
 
 
-def _document_evidence() -> list[Column]:
-    lang = F.nullif(F.lower(F.trim(F.col("lang").cast("string"))), F.lit(""))
-    source = F.col("source").cast("string")
+def _document_evidence(edges: dict[str, int] | None = None) -> list[Column]:
+    declared = F.nullif(F.lower(F.trim(F.col("lang").cast("string"))), F.lit(""))
+    trained = _in_sample(F.col("text"), F.col("lang").cast("string"), edges or {})
+    none = F.lit(None).cast("string")
     return [
-        text_or_empty("text").alias("text"), F.lit(False).alias("is_html"), lang.alias("markup"),
-        F.lit(None).cast("string").alias("suffix"), source.alias("host"), source.alias("domain"),
+        text_or_empty("text").alias("text"), F.lit(False).alias("is_html"), F.when(~trained, declared).alias("markup"),
+        none.alias("suffix"), F.col("source").cast("string").alias("host"), none.alias("domain"),
     ]
 
 
-def document_rows(docs: DataFrame) -> DataFrame:
-    """Documents as evidence: the source is host and domain, ``lang`` is declared."""
-    return docs.select("doc_id", *_document_evidence())
+def document_rows(docs: DataFrame, edges: dict[str, int] | None = None) -> DataFrame:
+    """Documents as evidence: the source is the host, ``lang`` is declared where the sample
+    up to ``edges`` did not train on it."""
+    return docs.select("doc_id", *_document_evidence(edges))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -228,7 +280,9 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
     k1, k2 = row_hashes(rows)
     rows = rows.withColumns({"k1": k1, "k2": k2})
     known = rows.select("k1", "k2", *[F.col(names[c]).alias(c) for c in ("text", "lang", "source")])
-    found = identify(known.select(*_document_evidence(), "k1", "k2"), train(known.select("text", F.col("lang").cast("string").alias("lang"))), ["k1", "k2"])
+    labelled = known.select("text", F.col("lang").cast("string").alias("lang"))
+    edges = sample_edges(labelled)
+    found = identify(known.select(*_document_evidence(edges), "k1", "k2"), train(labelled, edges=edges), ["k1", "k2"])
     rejected = materialise(found.where(~F.col("kept")).select("k1", "k2").distinct(), "rejected")
     return put_back(rows.join(rejected, ["k1", "k2"], "left_anti"), names)
 
@@ -237,6 +291,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents and of all pages (``doc_id`` or ``page_id`` is set)."""
     docs, pages = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages")
     none = F.lit(None).cast("long")
-    rows = document_rows(docs).withColumn("page_id", none).unionByName(page_rows(pages).withColumn("doc_id", none))
-    found = identify(rows, train(docs.select("text", "lang")), ["doc_id", "page_id"])
+    labelled = docs.select("text", "lang")
+    edges = sample_edges(labelled)
+    rows = document_rows(docs, edges).withColumn("page_id", none).unionByName(page_rows(pages).withColumn("doc_id", none))
+    found = identify(rows, train(labelled, edges=edges), ["doc_id", "page_id"])
     return found.withColumn("posterior", F.round("posterior", 6))
