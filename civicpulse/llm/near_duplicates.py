@@ -1,18 +1,24 @@
-"""Near-duplicate documents by exact Jaccard similarity of word shingles.
-
-Candidates share a band of MinHash values: 25 bands of 5 rows, so a pair at a
-similarity of 0.8 is missed with a chance of 5e-5, more similar ones less often.
-Every candidate that could join two groups is checked on the whole sets of
-shingles (64-bit hashes); only pairs that reach ``similarity`` are linked.
-
-Equal sets are one node, so copies are never expanded into pairs.  In a band's
-bucket all nodes are first compared with the least one; after that only pairs of
-nodes that are in different components.  A bucket of many texts that are mostly
-unlike each other but for a shared part is compared in all its pairs.
+"""SimHash near-dedup for documents at a Jaccard similarity of 0.8 on five-word shingles.
+
+A pair at 0.8 differs in about 10 of 64 SimHash bits, and a covering family that
+guarantees such a radius has more tables than a document has words.  So the covering
+search of :mod:`simhash` finds the links within its radius first, and what may be left
+is found by banded MinHash values: 25 bands of 5 rows miss a pair at 0.8 with a chance
+of 5e-5, more similar ones less often.  Every link, by whichever way it was found, is
+checked on the whole sets of shingles (64-bit hashes) before it counts.
+
+Equal sets are one node, so copies are never expanded into pairs.  In the buckets of
+the bands only nodes of different components meet.  A bucket first gives a spanning
+forest of the pairs whose MinHash values agree like those of near-duplicates; once
+these are checked and merged, the remaining pairs of different components whose values
+agree in at least ``AGREE`` of the rows (0.8 less 3.3 standard deviations) are checked
+each.  Values are compared in blocks; a bucket of more than ``CHUNK`` nodes is dealt as
+pairs of chunks to as many tasks.
 
 Defined cases: A-Z are lower-cased; with fewer words than a shingle the whole word
 sequence is the only shingle; texts without words (or null) are copies of each
-other; an empty table gives no rows.
+other; very long texts are hashed whole, a block of shingles at a time; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -24,19 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, put_back, text_or_empty
-from .simhash import numbered, one_row_of_each
+from .common import connected_components, drop_scratch, group_bounds, materialise, put_back, text_or_empty, whole_groups
+from .simhash import link_edges, majority_bits, numbered, one_row_of_each
 
 SHINGLE = 5
 SIMILARITY = 0.8
+RADIUS = 4  # of the covering search
 BANDS, BAND_ROWS = 25, 5
+AGREE = 0.68
+SURE = 0.78  # agreement of the pairs that are tried first
+CHUNK = 4096
 _CHUNK = 1 << 13  # shingles mixed at a time
 _MASKS, _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64)
 _FACTORS = _FACTORS << np.uint64(1) | np.uint64(1)
 
 
-def shingle_set(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of one text given as UTF-8."""
+def shingle_hashes(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles of one text given as UTF-8, repeats included."""
     import xxhash
 
     words = data.lower().split()  # bytes: ASCII case and ASCII white space only
@@ -47,40 +57,58 @@ def shingle_set(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
     starts = np.r_[0, ends[:-1]][: max(1, len(words) - shingle + 1)].tolist()
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[i:j], 42) for i, j in zip(starts, stops, strict=True)), np.uint64, len(starts)))
+    return np.fromiter((digest(joined[i:j], 42) for i, j in zip(starts, stops, strict=True)), np.uint64, len(starts))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One key per band of the MinHash values of a set, as signed longs; none for an empty set."""
-    import xxhash
+def shingle_set(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of one text given as UTF-8."""
+    return np.unique(shingle_hashes(data, shingle))
 
-    if not len(hashes):
-        return []
+
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), _CHUNK):
         mixed = (hashes[at : at + _CHUNK] ^ _MASKS) * _FACTORS
         least = np.minimum(least, mixed.min(axis=1))
-    bands = least.reshape(BANDS, BAND_ROWS)
-    keys = np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(bands)], np.uint64)
+    return least
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key per band of the MinHash values of a set, as signed longs; none for an empty set."""
+    return _keys_of(min_hashes(hashes)) if len(hashes) else []
+
+
+def _keys_of(least: np.ndarray) -> list[int]:
+    import xxhash
+
+    keys = np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
     return keys.view(np.int64).tolist()
 
 
 def sketches(rows: DataFrame, shingle: int) -> DataFrame:
-    """``(_row, h1, h2, n, bands)`` of ``rows(_row, text)``: two hashes of the set, its size, its band keys."""
+    """``(_row, h1, h2, n, fp, bands, sig)`` of ``rows(_row, text)``: two hashes of the set, its size,
+    its SimHash, its band keys and a byte of each MinHash value."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            h1, h2, n, bands = [], [], [], []
+            h1, h2, n, fps, bands, sigs = [], [], [], [], [], []
             for text in batch.column(1).cast(pa.binary()):
-                own = shingle_set(text.as_py(), shingle)
+                every = shingle_hashes(text.as_py(), shingle)
+                own = np.unique(every)
                 a, b = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64).tolist()
-                h1.append(a), h2.append(b), n.append(len(own)), bands.append(band_keys(own))
-            columns = [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_row", "h1", "h2", "n", "bands"])
+                least = min_hashes(own)
+                h1.append(a), h2.append(b), n.append(len(own)), fps.append(majority_bits(every))
+                bands.append(_keys_of(least) if len(own) else [])
+                sigs.append((least >> np.uint64(40)).astype(np.uint8).tobytes())
+            columns = [pa.array(x, pa.int64()) for x in (h1, h2, n)]
+            columns += [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_row", "h1", "h2", "n", "fp", "bands", "sig"])
 
-    return rows.select("_row", text_or_empty().alias("text")).mapInArrow(work, "_row long, h1 long, h2 long, n long, bands array<long>")
+    return rows.select("_row", text_or_empty().alias("text")).mapInArrow(
+        work, "_row long, h1 long, h2 long, n long, fp long, bands array<long>, sig binary"
+    )
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -94,15 +122,85 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("_row", text_or_empty().alias("text")).mapInArrow(work, "node long, shingles array<long>")
 
 
+def bucket_pairs(rows: DataFrame, similarity: float, agree: float, spanning: bool) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of nodes of different components that share a bucket of
+    ``rows(key, node, root, n, sig)`` and agree in the share ``agree`` of their MinHash values;
+    with ``spanning`` only a spanning forest of each bucket's."""
+    large = rows.groupBy("key").agg(F.count("*").alias("_k")).where(F.col("_k") > CHUNK)
+    large = materialise(large.select(F.col("key").alias("_key"), F.ceil(F.col("_k") / CHUNK).cast("int").alias("_chunks")), "large")
+    dealt = rows.join(large, F.col("key") == F.col("_key"), "left").withColumn("chunks", F.coalesce("_chunks", F.lit(1)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    dealt = dealt.select("key", "node", "root", "n", "sig", "chunk", "chunks", other)
+    part = F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")
+    dealt = dealt.select("key", part.alias("part"), "node", "root", "n", "sig")
+
+    def near(i: np.ndarray, j: np.ndarray, sig: np.ndarray, n: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """Matrix of the pairs of ``i`` and ``j`` that qualify, a block of values at a time."""
+        ok = root[i][:, None] != root[j][None, :]
+        small, big = np.minimum(n[i][:, None], n[j][None, :]), np.maximum(n[i][:, None], n[j][None, :])
+        ok &= small >= similarity * big - 1e-9
+        p, q = np.nonzero(ok)
+        for at in range(0, len(p), 1 << 17):
+            s = slice(at, at + (1 << 17))
+            ok[p[s], q[s]] = (sig[i[p[s]]] == sig[j[q[s]]]).mean(axis=1) >= agree
+        return ok
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ("key", "part")):
+            node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+            a, b = [], []
+            for start, stop in group_bounds(table, ("key", "part")):
+                every = np.arange(start, stop)
+                if root[start:stop].min() == root[start:stop].max():
+                    continue
+                if not spanning:
+                    for at in range(0, len(every), 512):
+                        p, q = np.nonzero(near(every[at : at + 512], every, sig, n, root))
+                        up = node[every[at + p]] < node[every[q]]
+                        a += node[every[at + p[up]]].tolist()
+                        b += node[every[q[up]]].tolist()
+                    continue
+                rest = every
+                while len(rest) > 1:
+                    queue, rest = [rest[0]], rest[1:]
+                    while queue and len(rest):
+                        x = queue.pop()
+                        reached = near(np.array([x]), rest, sig, n, root)[0]
+                        a += [int(node[x])] * int(reached.sum())
+                        b += node[rest[reached]].tolist()
+                        queue.extend(rest[reached].tolist())
+                        rest = rest[~reached]
+            if a:
+                x, y = np.array(a), np.array(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    found = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(work, "a long, b long")
+    return found.distinct()
+
+
 def near_components(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``(_row, component_id)`` of ``rows(_row, text)``; ``_row`` is unique and ``rows`` a stored table."""
     known = materialise(sketches(rows, shingle), "sketches")
-    nodes = known.groupBy("h1", "h2").agg(F.min("_row").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = known.groupBy("h1", "h2").agg(
+        F.min("_row").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
+    )
     nodes = materialise(nodes, "nodes")
-    keyed = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("_k")).where("_k > 1").drop("_k")
+    keyed = nodes.select(F.explode("bands").alias("key"), "node")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("_k")).where("_k > 1").drop("_k")
     keyed = materialise(keyed.join(shared, "key"), "bands")
-    at_hand = keyed.select(F.col("node").alias("_row")).distinct()
+    # nodes of one fingerprint, and fingerprints within the radius by their least nodes
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    prints = materialise(prints, "prints")
+    same = nodes.select("fp", F.col("node").alias("b")).join(prints, "fp").where("least != b").select(F.col("least").alias("a"), "b")
+    links = link_edges(prints.select("fp"), RADIUS)
+    ends = prints.select(F.col("fp").alias("a"), F.col("least").alias("na")), prints.select(F.col("fp").alias("b"), F.col("least").alias("nb"))
+    links = links.join(ends[0], "a").join(ends[1], "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    covered = materialise(same.unionByName(links).distinct(), "pairs")
+
+    at_hand = keyed.select(F.col("node").alias("_row")).unionByName(covered.select(F.col("a").alias("_row")))
+    at_hand = at_hand.unionByName(covered.select(F.col("b").alias("_row"))).distinct()
     sets = materialise(shingle_sets(rows.join(at_hand, "_row", "left_semi"), shingle), "shingles")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb"))
@@ -110,20 +208,20 @@ def near_components(rows: DataFrame, shingle: int = SHINGLE, similarity: float =
     def linked(pairs: DataFrame) -> DataFrame:
         both = pairs.join(left, "a").join(right, "b")
         common = F.size(F.array_intersect("_sa", "_sb"))
-        return both.where(common >= similarity * (F.size("_sa") + F.size("_sb") - common) - 1e-9).select("a", "b")
-
-    stars = keyed.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    edges = materialise(linked(stars), "edges")
-    roots = connected_components(edges)
-    placed = keyed.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    placed = materialise(placed, "placed")
-    x, y = placed.alias("x"), placed.alias("y")
-    fits = (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
-    fits &= F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    rest = materialise(rest.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    edges = edges.unionByName(materialise(linked(rest), "edges"))
-    roots = connected_components(edges)
+        alike = common >= similarity * (F.size("_sa") + F.size("_sb") - common) - 1e-9
+        return materialise(both.select("a", "b", alike.alias("linked")), "edges")
+
+    tried = linked(covered)
+    values = nodes.select("node", "n", "sig")
+    for agree, spanning in ((SURE, True), (AGREE, False)):
+        roots = connected_components(tried.where("linked").select("a", "b"))
+        placed = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high").select("key")
+        placed = materialise(placed.join(mixed, "key").join(values, "node").select("key", "node", "root", "n", "sig"), "placed")
+        pairs = bucket_pairs(placed, similarity, agree, spanning)
+        tried = tried.unionByName(linked(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")))
+        drop_scratch(placed)
+    roots = connected_components(tried.where("linked").select("a", "b"))
     named = nodes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id"))
     return known.select("_row", "h1", "h2").join(named, ["h1", "h2"]).select("_row", "component_id")
 

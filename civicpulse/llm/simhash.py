@@ -57,6 +57,15 @@ def simhash64(data: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
 
 
+def majority_bits(hashes: np.ndarray) -> int:
+    """Bits that are 1 in over half of ``hashes``."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = np.ascontiguousarray(hashes[at : at + _CHUNK], np.dtype("<u8"))
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist()))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """One row ``(id, fp)`` per document; ``fp`` holds the 64 bits as a signed long."""
 
@@ -106,7 +115,9 @@ def link_edges(nodes: DataFrame, radius: int = 4) -> DataFrame:
     many tasks, which together compare what one task would.
     """
     masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius)])
-    keyed = nodes.select("fp", F.posexplode(masks).alias("t", "mask")).select(
+    # every fingerprint becomes as many rows as there are masks: spread them first
+    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = spread.select("fp", F.posexplode(masks).alias("t", "mask")).select(
         F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp"
     )
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
