@@ -35,41 +35,63 @@ def theil_contributions(units: DataFrame) -> DataFrame:
     return units.join(F.broadcast(mean)).select("unit_id", term.alias("contribution"))
 
 
+#: least reporting probability of a unit without a report, when nothing else is known of it
+SILENT = 0.01
+_FLOOR = 1e-10
+
+
+def _poisson(y: np.ndarray, mean: np.ndarray) -> float:
+    return float(np.sum(y * np.log(np.maximum(mean, _FLOOR)) - mean))
+
+
+def _refit(design: np.ndarray, beta: np.ndarray, target: np.ndarray, passes: int = 5) -> np.ndarray:
+    """Logistic regression of ``target`` (shares) by reweighted least squares, from ``beta``."""
+    for _ in range(passes):
+        score = np.clip(design @ beta, -700, 700)
+        p = 1 / (1 + np.exp(-score))
+        root = np.sqrt(np.maximum(p * (1 - p), 1e-300))
+        # weighted least squares on the working response, by QR of the weighted design
+        beta = np.linalg.lstsq(design * root[:, None], root * score + (target - p) / root, rcond=None)[0]
+    return beta
+
+
 def latent_reporting_em(counts: dict[str, float], populations: dict[str, float], covariates: dict[str, dict[str, float]] | None = None,
                         max_iter: int = 200, tol: float = 1e-6) -> dict:
-    """True rates and reporting probabilities by expectation-maximisation.
+    """True rates and reporting probabilities of areas whose reports are ``Poisson(rate * population * probability)``.
 
-    With covariates the probabilities follow a logistic model (five Newton steps a
-    round).  Without them the model is not identified: probabilities stay at one
-    half and the second round ends it.
+    Given the probabilities the rates that explain the counts are ``observed / probability``,
+    and given these rates the expected reported share of an area is its probability again, or 0
+    where nothing was reported.  So without covariates the start (one half) already is the
+    solution, ``SILENT`` for areas without a report, and two rounds show it.  With covariates
+    a round refits a logistic model of the probabilities to those shares.
     """
     units = sorted(counts)
-    y, pop = np.array([counts[u] for u in units], float), np.maximum([populations[u] for u in units], 1.0).astype(float)
-    rho, x, beta, trace, converged = np.full(len(units), 0.5), None, None, [], False
-    if covariates is not None:
-        names = sorted(next(iter(covariates.values())))
-        x = np.column_stack([np.ones(len(units)), *[[covariates[u][c] for u in units] for c in names]]).astype(float)
-        beta = np.zeros(x.shape[1])
-    logistic = lambda b: 1 / (1 + np.exp(-np.clip(x @ b, -700, 700)))
-    for _ in range(max_iter):
-        rate = np.maximum(y / np.maximum(rho, 1e-10) / pop, 1e-10)
-        share = y / np.maximum(rate * pop, 1e-10)
-        if x is None:
-            rho = np.clip(share, 0.01, 0.99)
-        else:
-            for _ in range(5):
-                p = logistic(beta)
-                hessian = (x * (p * (1 - p))[:, None]).T @ x
-                try:
-                    beta = beta + np.linalg.solve(hessian, x.T @ (share - p))
-                except np.linalg.LinAlgError:
-                    break
-            rho = logistic(beta)
-        mean = rate * pop * rho
-        trace.append(float((y * np.log(np.maximum(mean, 1e-10)) - mean).sum()))
-        if len(trace) > 1 and abs(trace[-1] - trace[-2]) < tol:
-            converged = True
+    y = np.array([counts[u] for u in units], float)
+    people = np.maximum(np.array([populations[u] for u in units], float), 1.0)
+    heard, trace, converged = y > 0, [], False
+    if covariates is None:
+        steps = iter([np.where(heard, 0.5, SILENT)] * max_iter)
+    else:
+        names = sorted(covariates[units[0]])
+        design = np.array([[1.0, *(covariates[u][c] for c in names)] for u in units], float)
+
+        def fitted():
+            beta, own = np.zeros(design.shape[1]), np.full(len(units), 0.5)
+            for _ in range(max_iter):
+                beta = _refit(design, beta, np.where(heard, own, 0.0))
+                own = 1 / (1 + np.exp(-np.clip(design @ beta, -700, 700)))
+                yield own
+
+        steps = fitted()
+    probability, before = np.full(len(units), 0.5), None
+    for after in steps:
+        rate = np.maximum(y / (np.maximum(probability, _FLOOR) * people), _FLOOR)
+        probability = after
+        trace.append(_poisson(y, rate * people * probability))
+        converged = before is not None and abs(trace[-1] - before) < tol
+        if converged:
             break
-    as_map = lambda v: dict(zip(units, map(float, v), strict=True))
-    return {"estimated_true_rates": as_map(rate), "reporting_probabilities": as_map(rho), "observed_rates": as_map(y / pop),
+        before = trace[-1]
+    by_unit = lambda v: {u: float(x) for u, x in zip(units, v, strict=True)}
+    return {"estimated_true_rates": by_unit(rate), "reporting_probabilities": by_unit(probability), "observed_rates": by_unit(y / people),
             "n_iterations": len(trace), "converged": converged, "log_likelihood_trace": tuple(trace)}

@@ -214,3 +214,50 @@ def test_spatial_models(spark):
     right = np.mean([v for u, v in smooth["smoothed_rates"].items() if int(u[2]) >= 3])
     assert 1.5 < left < 2.5 and 0.3 < right < 0.8
     assert all(smooth["credible_lower"][u] <= smooth["smoothed_rates"][u] <= smooth["credible_upper"][u] for u in w)
+
+
+def test_local_regression_equals_one_unit_at_a_time(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"u{i:02d}", float(40 + rng.random()), float(-74 + rng.random()), float(v := rng.normal()), float(1 + 2 * v + rng.normal(0, 0.5))) for i in range(30)]
+    df = spark.createDataFrame(rows, "unit_id string, latitude double, longitude double, x double, y double")
+    spots, x, y = np.array([r[1:3] for r in rows]), np.array([[1, r[3]] for r in rows]), np.array([r[4] for r in rows])
+    d = np.linalg.norm(spots[:, None] - spots[None], axis=2)
+    shapes = {"bisquare": lambda u: (1 - u**2) ** 2 if u <= 1 else 0.0, "gaussian": lambda u: np.exp(-(u**2) / 2), "exponential": lambda u: np.exp(-u), "uniform": lambda u: float(u <= 1)}
+
+    def fit(i, h, shape, leave=None):
+        w = np.sqrt([0.0 if j == leave else shape(d[i, j] / h) for j in range(30)])
+        return np.linalg.lstsq(x * w[:, None], y * w, rcond=None)[0]
+
+    for kernel, shape in shapes.items():
+        errors = {h: sum((y[i] - x[i] @ fit(i, h, shape, i)) ** 2 for i in range(30)) for h in np.percentile(d[d > 0], [50, 75, 90])}
+        errors |= {h: np.inf for h in np.percentile(d[d > 0], [25])} if kernel in ("bisquare", "uniform") else {}
+        got = sm.gwr(df, "y", ["x"], kernel=kernel).collect()
+        h = got[0].bandwidth
+        if kernel not in ("bisquare", "uniform"):  # with these a small bandwidth may leave a unit alone
+            errors |= {q: sum((y[i] - x[i] @ fit(i, q, shape, i)) ** 2 for i in range(30)) for q in np.percentile(d[d > 0], [25])}
+            assert h == pytest.approx(min(errors, key=errors.get))
+        assert any(h == pytest.approx(q) for q in errors)
+        for r in got:
+            i = int(r.unit_id[1:])
+            beta = fit(i, h, shape)
+            assert r.coefficient == pytest.approx(beta[r.name == "x"], rel=1e-6, abs=1e-8)
+            w = np.array([shape(u / h) for u in d[i]])
+            r2 = 1 - (w * (y - x @ beta) ** 2).sum() / (w * (y - np.average(y, weights=w)) ** 2).sum()
+            assert r.local_r_squared == pytest.approx(r2, rel=1e-6, abs=1e-8)
+    with pytest.raises(ValueError, match="kernel"):
+        sm.gwr(df, "y", ["x"], kernel="none")
+
+
+def test_latent_rates_with_silent_units():
+    counts = {"a": 50, "b": 0, "c": 30, "d": 0, "e": 12, "f": 7}
+    people = dict.fromkeys(counts, 1_000)
+    plain = inequality.latent_reporting_em(counts, people)
+    assert plain["reporting_probabilities"] == {"a": 0.5, "b": 0.01, "c": 0.5, "d": 0.01, "e": 0.5, "f": 0.5}
+    cov = {u: {"x": float(i % 2) + 0.1 * i} for i, u in enumerate(counts)}
+    em = inequality.latent_reporting_em(counts, people, cov, max_iter=400)
+    p = em["reporting_probabilities"]
+    assert em["estimated_true_rates"]["a"] == pytest.approx(0.05 / p["a"], rel=1e-3)
+    assert max(p["b"], p["d"]) < 0.5 and all(0 < v < 1 for v in p.values())
+    # a round of the model from its own result changes nothing but what the tolerance leaves
+    again = inequality.latent_reporting_em(counts, people, cov, max_iter=401)
+    assert again["n_iterations"] == em["n_iterations"] or not em["converged"]
