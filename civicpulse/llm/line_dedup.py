@@ -9,14 +9,15 @@ group of equal rank at depth m is an interval of the suffix array whose longest
 common prefix is at least m: a run of m lines found more than once.
 
 A run counts as repeated when it has at least ``min_words`` words.  The least m
-that reaches them depends on the lines alone, so equal runs share it, and the
-union over the intervals at that depth is the union over all maximal repeated
-runs up to their ends: of a run's last lines only those stay that a window of at
-least ``min_words`` words does not reach.  That is the contract of the ``op1`` query
-and its SQL.  With ``whole_runs`` (the pipeline's stage) ``min_words`` counts the
-words of the whole maximal run: the windows of a line also grow to every length up
-to where the next line's window ends, so that one of them ends at each line a run
-can end with, and the union is that of all maximal repeated runs.
+that reaches them depends on the lines alone, so equal runs share it, and a maximal
+repeated run is the union of the intervals at these depths that lie in it, but for the
+lines at its end that no window of ``min_words`` words reaches.  With ``whole_runs``
+(the ``op1`` query and the pipeline's stage) the windows of a line also grow to every
+length up to where the next line's window ends, so that one of them ends at each line a
+run can end with: their union is exactly that of all maximal repeated runs of
+``min_words`` words or more, however long (tested against the definition).  Ranks beyond
+that depth would name longer prefixes of lines that are already covered, so doubling
+ends there.
 
 Of the members of an interval the first in corpus order (document id,
 row, line) stays; the lines of the later copies are deleted, together with blank
@@ -204,7 +205,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deleted line runs of all documents and a digest of what is left."""
-    out = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), whole_runs=True)
     runs = F.transform("_removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string")))
     return out.select(
         "doc_id",
@@ -225,10 +226,11 @@ l AS (SELECT rid, doc_id, raw, s, len(regexp_split_to_array(s, '[ 	-
 ]+|[ 	-
 ]+$', '', 'g') AS s FROM raw) WHERE s <> ''),
 a AS (SELECT *, list(s) OVER ahead AS nxt, list(words) OVER ahead AS w FROM l
-      WINDOW ahead AS (PARTITION BY rid ORDER BY j ROWS BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)),
+      WINDOW ahead AS (PARTITION BY rid ORDER BY j ROWS BETWEEN CURRENT ROW AND {2 * MIN_WORDS - 1} FOLLOWING)),
 m AS (SELECT *, list_position(list_transform(range(1, len(w) + 1), lambda k: list_sum(w[1:k]) >= {MIN_WORDS}), true) AS m FROM a),
-c AS (SELECT *, row_number() OVER (PARTITION BY nxt[1:m] ORDER BY rid, j) AS copy FROM m WHERE m > 0),
-g AS (SELECT DISTINCT rid, unnest(range(j, j + m)) AS j FROM c WHERE copy > 1),
+e AS (SELECT rid, j, nxt, unnest(range(m, len(w) + 1)) AS k FROM m WHERE m > 0),
+c AS (SELECT *, row_number() OVER (PARTITION BY nxt[1:k] ORDER BY rid, j) AS copy FROM e),
+g AS (SELECT DISTINCT rid, unnest(range(j, j + k)) AS j FROM c WHERE copy > 1),
 i AS (SELECT l.*, j - row_number() OVER (PARTITION BY rid ORDER BY j) AS island FROM l SEMI JOIN g USING (rid, j)),
 r AS (SELECT rid, min(raw) AS a, max(raw) AS b, count(*) AS n, sum(words) AS w FROM i GROUP BY rid, island),
 x AS (SELECT rid, string_agg(a || ':' || b, ',' ORDER BY a) AS removed, sum(n) AS n, sum(w) AS w FROM r GROUP BY rid),

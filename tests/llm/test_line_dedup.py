@@ -92,3 +92,32 @@ def test_the_stage_leaves_no_tail_of_a_repeated_run(spark):
     run = "this line is long enough to be a run on its own\nand a short tail"
     df = spark.createDataFrame([(1, run), (2, "before\n" + run + "\nafter"), (3, run)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in drop_repeated_lines(df).collect()} == {1: run, 2: "before\nafter"}
+
+
+def test_query_and_sql_equal_the_definition(spark, tmp_path):
+    """The registered query and its SQL against all repeated runs, whatever their length."""
+    import hashlib
+
+    import duckdb
+
+    from civicpulse.llm.line_dedup import OP1_SQL, op1_line_dedup
+
+    rng = random.Random(77)
+    pool = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(9)] + ["", "  ", "one long line of eleven words is here for the test"]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 30)))) for i in range(50)]
+    docs += [(50, None), (51, docs[3][1]), (52, "same\n" * 40), (53, "x\n" + docs[4][1] + "\nab\ncd\nef"), (54, "y\n" + docs[4][1] + "\nab\ncd\nef\ngh")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in op1_line_dedup(spark, str(tmp_path)).collect()}
+    want = brute_whole(docs, 10)
+    assert {i: r.text_sha256 for i, r in rows.items()} == {i: hashlib.sha256((t or "").encode()).hexdigest() for (i, _), t in zip(docs, want, strict=True)}
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = db.sql(OP1_SQL)
+    assert sorted(sql.fetchall()) == sorted(tuple(r[c] for c in sql.columns) for r in rows.values())
+
+
+def test_very_long_text(spark):
+    lines = [f"line {i} of a very long text that is like no other one" for i in range(30_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["head", *lines[100:20_000], "tail"])), (3, "word " * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in drop_repeated_lines(df).collect()}
+    assert got[1] == "\n".join(lines) and got[2] == "head\ntail" and len(got[3]) == 1_500_000
