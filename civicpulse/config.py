@@ -108,11 +108,12 @@ class AnalysisWindow:
 @dataclass(frozen=True, slots=True)
 class ExportTarget:
     format: str
-    output_path: Path
+    output_path: Path | str
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "format", self.format.strip().lower())
-        object.__setattr__(self, "output_path", Path(self.output_path))
+        if "://" not in str(self.output_path):  # an address of another file system stays as it is
+            object.__setattr__(self, "output_path", Path(self.output_path))
 
 
 def build_filter(start_date: date | None = None, end_date: date | None = None, geography: str | None = None,

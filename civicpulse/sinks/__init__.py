@@ -1,7 +1,8 @@
 """Sinks: CSV tables, request snapshots, GeoJSON and report cards.
 
 Results written as one file are aggregates; snapshots of requests are written in
-as many part files as the data has partitions.
+as many part files as the data has partitions.  Paths may lie on any file system
+that Spark knows.
 """
 
 from __future__ import annotations
@@ -10,22 +11,22 @@ import csv
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ExportTarget
+from ..sources.files import open_text, write_text
 from ..sources.requests import EXPORT_COLUMNS
 
 
-def _path(target: ExportTarget, *formats: str) -> Path:
+def _path(target: ExportTarget, *formats: str) -> Path | str:
     if target.format not in formats:
         raise ValueError(f"Format {target.format!r} is not supported here; one of {', '.join(formats)}.")
-    target.output_path.parent.mkdir(parents=True, exist_ok=True)
     return target.output_path
 
 
-def _write_rows(df: DataFrame, path: Path) -> Path:
-    with path.open("w", newline="", encoding="utf-8") as f:
+def _write_rows(df: DataFrame, path: Path | str) -> Path | str:
+    with open_text(df.sparkSession, path) as f:
         out = csv.writer(f)
         out.writerow(df.columns)
         for row in df.toLocalIterator():
@@ -45,24 +46,34 @@ def _as_text(df: DataFrame, floats: tuple[str, ...]) -> DataFrame:
     return df.select(*columns)
 
 
-def export_topic_table(summaries: DataFrame, target: ExportTarget) -> Path:
+def export_topic_table(summaries: DataFrame, target: ExportTarget) -> Path | str:
     """One CSV file, ordered by geography, type and rank; shares with six decimals."""
     df = summaries.orderBy("geography_value", "complaint_type", "topic_rank")
     return _write_rows(_as_text(df, ("share_of_geography",)), _path(target, "csv"))
 
 
-def export_anomalies(anomalies: DataFrame, target: ExportTarget) -> Path:
+def export_anomalies(anomalies: DataFrame, target: ExportTarget) -> Path | str:
     df = anomalies.orderBy(F.desc(F.abs("z_score")), "geography_value", "complaint_type", "topic_rank")
     return _write_rows(_as_text(df, ("share_of_geography", "z_score", "anomaly_threshold")), _path(target, "csv"))
 
 
-def export_service_requests_csv(requests: DataFrame, target: ExportTarget, single_file: bool = True) -> Path:
-    """CSV snapshot with the file column names; ``single_file=False`` writes part files in parallel."""
+def export_service_requests_csv(requests: DataFrame, target: ExportTarget, single_file: bool = False) -> Path | str:
+    """CSV snapshot with the file column names: a folder of part files written in parallel.
+
+    ``single_file=True`` streams all rows through the driver into one file; for small extracts.
+    """
     path = _path(target, "csv")
     df = requests.withColumnRenamed("service_request_id", "unique_key").select(*EXPORT_COLUMNS)
     if single_file:
         return _write_rows(df, path)
-    df.write.mode("overwrite").option("header", True).option("nullValue", "").csv(str(path))
+    df.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(str(path))
+    return path
+
+
+def export_panel(panel: DataFrame, target: ExportTarget) -> Path | str:
+    """A panel as Parquet, its maps and dates typed as they are."""
+    path = _path(target, "parquet")
+    panel.write.mode("overwrite").parquet(str(path))
     return path
 
 
@@ -99,9 +110,9 @@ def boundaries_to_geojson(boundaries: DataFrame, summaries: DataFrame | None = N
     return {"type": "FeatureCollection", "features": features}
 
 
-def export_geojson(boundaries: DataFrame, summaries: DataFrame, target: ExportTarget) -> Path:
+def export_geojson(boundaries: DataFrame, summaries: DataFrame, target: ExportTarget) -> Path | str:
     path = _path(target, "geojson")
-    path.write_text(json.dumps(boundaries_to_geojson(boundaries, summaries), indent=2, sort_keys=True), encoding="utf-8")
+    write_text(boundaries.sparkSession, path, json.dumps(boundaries_to_geojson(boundaries, summaries), indent=2, sort_keys=True))
     return path
 
 
@@ -114,7 +125,7 @@ def _top(df: DataFrame, order: list, n: int = 5) -> dict[str, list]:
 
 
 def export_report_card(target: ExportTarget, summaries: DataFrame | None = None, gaps: DataFrame | None = None,
-                       anomalies: DataFrame | None = None) -> Path:
+                       anomalies: DataFrame | None = None) -> Path | str:
     """Markdown by geography: at most five dominant topics, gaps and flagged anomalies each."""
     path = _path(target, "md", "markdown")
     topics = _top(summaries.where("is_dominant_topic"), [F.desc("geography_total_count"), "complaint_type"]) if summaries is not None else {}
@@ -139,5 +150,6 @@ def export_report_card(target: ExportTarget, summaries: DataFrame | None = None,
             lines.append(title)
             lines += [f"- {render(r)}" for r in rows.get(place, [])] or [f"- {none}"]
             lines.append("")
-    path.write_text("\n".join(lines).rstrip() + "\n", encoding="utf-8")
+    session = next((df.sparkSession for df in (summaries, gaps, anomalies) if df is not None), None) or SparkSession.active()
+    write_text(session, path, "\n".join(lines).rstrip() + "\n")
     return path

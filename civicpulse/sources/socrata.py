@@ -1,6 +1,8 @@
 """Paged JSON API: query text, row normalisation and a Python data source.
 
-Pages are independent offsets, so each is an input partition read by an executor.
+Pages are independent offsets, so runs of pages are input partitions read by executors.
+How many there are is asked of the server first; a server that does not count is read
+by one task that follows the pages to their end.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
 from urllib.error import URLError
-from urllib.parse import urlencode
+from urllib.parse import parse_qsl, urlencode
 from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +87,19 @@ def fetch_page(url: str, config: SocrataConfig, opener: Callable = urlopen, slee
     return payload
 
 
+def count_rows(url: str, config: SocrataConfig, opener: Callable = urlopen) -> int | None:
+    """Number of rows behind the first page's address, null if the server does not say."""
+    address, query = url.split("?", 1)
+    where = {k: v for k, v in parse_qsl(query) if k == "$where"}
+    try:
+        reply = fetch_page(f"{address}?{urlencode({'$select': 'count(*) AS n'} | where)}", config, opener)
+    except (OSError, ValueError):
+        return None
+    if len(reply) != 1 or not isinstance(reply[0], dict) or set(reply[0]) != {"n"} or not str(reply[0]["n"]).isdigit():
+        return None
+    return int(reply[0]["n"])
+
+
 def iter_rows(config: SocrataConfig, filters: ServiceRequestFilter, opener: Callable = urlopen) -> Iterator[dict[str, str | None]]:
     """Driver-side paging: ends at an empty or short page or after ``max_pages``."""
     page = 0
@@ -109,10 +124,15 @@ class _Reader(DataSourceReader):
         self.pages_per_partition = int(options.get("pages_per_partition", "20"))
 
     def partitions(self) -> list[InputPartition]:
-        if self.config.max_pages is None:
-            return [_Page(0, None)]  # the number of pages is not known: one reader follows them
-        step = self.pages_per_partition
-        return [_Page(i, min(i + step, self.config.max_pages)) for i in range(0, self.config.max_pages, step)]
+        step, pages = self.pages_per_partition, self.config.max_pages
+        if pages is None:
+            rows = count_rows(self.template, self.config)
+            if rows is None:
+                return [_Page(0, None)]
+            # the last task goes on to the end: rows may arrive while others read
+            pages = max(1, -(-rows // self.config.page_size))
+            return [_Page(i, i + step if i + step < pages else None) for i in range(0, pages, step)]
+        return [_Page(i, min(i + step, pages)) for i in range(0, pages, step)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
         page = partition.first
