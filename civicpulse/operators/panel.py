@@ -119,6 +119,12 @@ def cross_section(panel: DataFrame, columns: list[str], period: str | None = Non
     return out.dropna(subset=columns)
 
 
+def with_demographics(panel: DataFrame, demographics: DataFrame, key: str = "unit_id") -> DataFrame:
+    """The panel's rows of the units that ``demographics`` knows, with its columns in place of the panel's own."""
+    own = [c for c in panel.columns if c == key or c not in demographics.columns]
+    return panel.select(*own).join(demographics, key)
+
+
 def regroup_panel(panel: DataFrame, by_period: bool = True) -> DataFrame:
     """Sums by borough (the unit label without its last word) and period."""
     borough = F.regexp_replace("unit_id", " [^ ]+$", "").alias("borough")

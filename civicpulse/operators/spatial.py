@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import haversine
+from ..sources.boundaries import normalize_boundary_layer
 
 CELL = 0.01  # degrees of the join grid
 
@@ -95,6 +96,14 @@ def spatial_join(requests: DataFrame, boundaries: DataFrame, cell: float = CELL)
     )
 
 
+def enrich_requests(requests: DataFrame, boundaries: DataFrame, layer: str | None = None) -> DataFrame:
+    """Requests that have a point with the attributes of the boundary they lie in (null outside all)."""
+    if layer is not None:
+        boundaries = boundaries.where(F.col("geography") == normalize_boundary_layer(layer))
+    placed = requests.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    return spatial_join(placed, boundaries)
+
+
 def location_check(requests: DataFrame, boundaries: DataFrame, geography: str = "community_district") -> DataFrame:
     """Per boundary: requests whose stated value agrees, differs, and the total inside."""
     joined = spatial_join(requests, boundaries).where(F.col("boundary_geography_value").isNotNull())

@@ -107,3 +107,9 @@ def unmatched_descriptors(assigned: DataFrame, n: int) -> DataFrame:
         F.count("*").alias("n"), F.min("service_request_id").alias("first_id")
     )
     return counts.orderBy(F.desc("n"), F.asc_nulls_last("first_id"), "descriptor").limit(n)
+
+
+def label_rows(summaries: DataFrame, limit: int) -> DataFrame:
+    """The dominant topics that a map labels: largest geographies first, then the least dominant, then by name."""
+    order = [F.desc("geography_total_count"), "share_of_geography", "geography_value"]
+    return summaries.where("is_dominant_topic and complaint_count > 0").orderBy(*order).limit(limit)

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from civicpulse import queries as Q
+from civicpulse import queries_io  # noqa: F401  (registers its queries)
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
