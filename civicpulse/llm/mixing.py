@@ -57,10 +57,6 @@ def _total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def _tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
-
-
 def _style(name: str, count: Column, n: Column) -> Column:
     """A pseudo word: the class of the share of ``count`` in ``n``."""
     share = count / F.greatest(n, F.lit(1))
@@ -71,13 +67,14 @@ def _style(name: str, count: Column, n: Column) -> Column:
 def _with_words(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with ``n_tokens`` and ``_words``: hashes of the distinct words (letters and digits only) and marks of style."""
     text = text_or_empty(text)
-    rows = rows.withColumn("_tokens", _tokens(text))
-    n = F.size("_tokens")
-    again = F.size(F.filter(F.col("_tokens"), lambda w, k: (k > 0) & (w == F.get(F.col("_tokens"), k - 1))))
+    low = F.lower(text)
+    rows = rows.withColumn("n_tokens", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
+    n = F.col("n_tokens")
+    again = F.regexp_count(low, F.lit(r"(?<!\S)(\S++)(?=\s++\1(?!\S))"))  # words that are said again at once
     marks = F.array(_style("again", again, n), _style("symbols", F.regexp_count(text, F.lit("[#*$%&|<>]+")), n))
-    bare = F.array_distinct(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
-    words = F.when(n > 0, F.transform(F.concat(bare, marks), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
-    return rows.withColumn("n_tokens", n.cast("long")).withColumn("_words", words).drop("_tokens")
+    bare = F.array_distinct(F.transform(F.array_remove(F.split(low, r"[^\p{L}\p{N}]+"), ""), lambda w: F.xxhash64(w)))
+    words = F.when(n > 0, F.concat(bare, F.transform(marks, lambda w: F.xxhash64(w)))).otherwise(F.array().cast("array<bigint>"))
+    return rows.withColumn("_words", words)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
