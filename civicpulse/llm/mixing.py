@@ -4,7 +4,7 @@ A naive Bayes classifier over the presence of words and of marks of style (symbo
 words said twice in a row), fitted on labelled documents, gives every document a
 posterior over the domains.  Nonnegative rates (expected copies) are then fitted to
 all documents so that the expected token totals of the domains meet the targets:
-least squares by projected gradient.  All rates start at one copy; a step takes the
+least squares by (accelerated) projected gradient.  All rates start at one copy; a step takes the
 gap of every domain from the totals, moves each document's rate against its
 posterior-weighted gaps and cuts it off at the bound.  A round is one sum of the size
 of the number of domains over all documents; the rates follow from the posteriors, the
@@ -39,9 +39,9 @@ TRAIN_ROWS = 20_000
 BROADCAST_WORDS = 200_000  # rows of the classifier's table (a hash and a weight per domain) that may be broadcast
 SIGNIFICANT = 4.0  # standard deviations of a word's log-ratio
 EFFECT = 1.5  # least size of a log-ratio: weaker preferences go with topic or language, and add up
-ROUNDS = 60
+ROUNDS = 100
 STORED = 6  # steps between two tables of rates
-PROGRESS = 1e-3  # least relative gain of a round
+PROGRESS = 1e-3  # two rounds in turn that gain less, relatively, are the last
 RIDGE = 1e-6  # pull of rates to one copy: of rates that meet the targets alike, those nearest to it
 #: share of the tokens that each domain of the labelled table should get
 TARGETS = {"clean": 0.97, "junk": 0.03, "toxic": 0.0}
@@ -150,15 +150,16 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], keep: lis
     return scored.select(*names, *[(mass[i] / _total(mass)).alias(f"p{i}") for i in k])
 
 
-def _sums(table: DataFrame, rate: Column, lower: float, k: range) -> tuple[np.ndarray, np.ndarray]:
-    """Expected totals of the domains at ``rate`` and second moments of the rows that are not at the bound."""
-    now = table.withColumn("_rate", rate)
-    free = F.when(F.col("_rate") > lower, F.col("n_tokens")).otherwise(0)
-    sums = [F.sum(F.col("_rate") * F.col("n_tokens") * F.col(f"p{i}")).alias(f"a{i}") for i in k]
-    moments = [F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in k for j in range(i + 1)]
-    got = now.agg(*sums, *moments).first()
-    at = lambda name: float(got[name] or 0)
-    return np.array([at(f"a{i}") for i in k]), np.array([[at(f"m{max(i, j)}_{min(i, j)}") for j in k] for i in k])
+def _sums(table: DataFrame, rate: Column, k: range) -> np.ndarray:
+    """Expected totals of the domains at ``rate``."""
+    got = table.agg(*[F.sum(rate * F.col("n_tokens") * F.col(f"p{i}")).alias(f"a{i}") for i in k]).first()
+    return np.array([float(got[f"a{i}"] or 0) for i in k])
+
+
+def _moments(table: DataFrame, k: range) -> np.ndarray:
+    """Second moments of the posteriors, weighted by tokens."""
+    got = table.agg(*[F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in k for j in range(i + 1)]).first()
+    return np.array([[float(got[f"m{max(i, j)}_{min(i, j)}"] or 0) for j in k] for i in k])
 
 
 def fit_rates(table: DataFrame, targets: list[float], lower: float = 0.0, budget: float | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -166,11 +167,10 @@ def fit_rates(table: DataFrame, targets: list[float], lower: float = 0.0, budget
 
     Minimises ``(A r - T)' W (A r - T) / 2 + RIDGE * sum n (r - 1)^2 / 2`` over ``r >= lower``:
     ``A r`` are the expected domain totals, ``T`` the targets, ``W`` the inverse second moments
-    of the posteriors, in which domains that overlap are told apart.  A step on the rate of a
-    row with posteriors ``p``, in the metric of its tokens ``n``, is
-    ``r - step * (p V (A r - T) + RIDGE (r - 1))``, cut off at ``lower``; ``V`` are the inverse
-    second moments of the rows that are not at the bound (a two-metric projection, which goes
-    down for every such ``V``).  The step is halved as long as the cut makes it worse.  Every
+    of the posteriors, in which domains that overlap are told apart.  In the metric of the tokens
+    the gradient of a row with posteriors ``p`` is ``p W (A r - T) + RIDGE (r - 1)`` and its
+    Lipschitz constant is 1, so whole steps, each cut off at ``lower``, go down.  They are taken
+    from a point ahead of the last two (accelerated, and started anew when that overshoots).  Every
     ``STORED`` steps the rates are stored.
 
     ``budget`` is the number of tokens of the mixture; by default the largest for
@@ -179,47 +179,35 @@ def fit_rates(table: DataFrame, targets: list[float], lower: float = 0.0, budget
     k = range(len(targets))
     share = np.array(targets, float) / sum(targets)
     columns = table.columns
-    have, moments = _sums(table, F.lit(1.0), -1.0, k)
+    total = _sums(table, F.lit(1.0), k)
     if budget is None:
-        budget = min((have[i] / share[i] for i in k if share[i] > 0), default=0.0)
-    want, weight = share * budget, np.linalg.pinv(moments, rcond=1e-9, hermitian=True)
-    state, moves, stored = table.withColumn("_start", F.when(F.col("n_tokens") > 0, F.greatest(F.lit(1.0), F.lit(float(lower)))).otherwise(1.0)), [], None
-
-    def rate(steps: list[tuple[float, np.ndarray]]) -> Column:
-        r = F.col("_start")
-        for step, gap in steps:
-            pull = _total([F.col(f"p{i}") * float(step * gap[i]) for i in k])
-            r = F.greatest(F.lit(float(lower)), r * (1 - step * RIDGE) + step * RIDGE - pull)
-        return F.when(F.col("n_tokens") > 0, r).otherwise(1.0)
-
-    def loss(total: np.ndarray) -> float:
-        return float((total - want) @ weight @ (total - want))
-
-    total, moments = _sums(state, rate(moves), lower, k)
-    size, smallest = max(want.sum(), have.sum(), 1.0), 1.0
-    for _ in range(rounds):
+        budget = min((total[i] / share[i] for i in k if share[i] > 0), default=0.0)
+    want, weight, size = share * budget, np.linalg.pinv(_moments(table, k), rcond=1e-9, hermitian=True), max(budget, total.sum(), 1.0)
+    state, stored, slow, momentum = table.withColumns({"_rate": F.lit(1.0), "_ahead": F.lit(1.0)}), None, 0, 1.0
+    ahead = total
+    for done in range(1, rounds + 1):
         if np.abs(total - want).max() <= 1e-7 * size:
             break
-        # the gradient in the metric of the rows that can move: without the cut a whole step closes the gaps
-        gap, step = np.linalg.pinv(moments, rcond=1e-6, hermitian=True) @ (total - want), smallest
-        if not np.abs(gap).max() > 0:
-            break  # every row that could move is at the bound
-        tried, seen = _sums(state, rate([*moves, (step, gap)]), lower, k)
-        if loss(tried) >= loss(total):
-            smallest /= 2
-            if smallest < 1e-3:
-                break
-            continue
-        gained = loss(total) - loss(tried)
-        moves.append((step, gap))
-        total, moments, smallest = tried, seen, min(1.0, 2 * smallest)
-        if gained <= PROGRESS * loss(total):
+        gap = weight @ (ahead - want)
+        pull = _total([F.col(f"p{i}") * float(gap[i]) for i in k])
+        new = F.greatest(F.lit(float(lower)), F.col("_ahead") * (1 - RIDGE) + RIDGE - pull)
+        state = state.withColumn("_new", F.when(F.col("n_tokens") > 0, new).otherwise(1.0))
+        reached = _sums(state, F.col("_new"), k)
+        before, after = ((x - want) @ weight @ (x - want) for x in (total, reached))
+        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        far = (momentum - 1) / following if after <= before else 0.0
+        momentum = following if after <= before else 1.0
+        state = state.withColumn("_ahead", F.col("_new") + (F.col("_new") - F.col("_rate")) * float(far)).select(*columns, F.col("_new").alias("_rate"), "_ahead")
+        ahead, total = reached + far * (reached - total), reached
+        slow = slow + 1 if abs(before - after) <= PROGRESS * before else 0
+        if slow == 2:
             break
-        if len(moves) == STORED:
-            state = materialise(state.withColumn("_start", rate(moves)), "rates")
+        if done % STORED == 0:
+            state = materialise(state, "rates")
             drop_scratch(stored)
-            stored, moves = state, []
-    return state.withColumn("rate", rate(moves)).select(*columns, "rate")
+            stored = state
+    rated = F.when(F.col("n_tokens") > 0, F.greatest(F.col("_rate"), F.lit(float(lower)))).otherwise(1.0)
+    return state.withColumn("rate", rated).select(*columns, "rate")
 
 
 def totals(rated: DataFrame, domains: list[str]) -> DataFrame:

@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 from civicpulse.llm.mixing import copies, fit_rates, label_domains, mix, resample
 
 
-def brute_rates(n, p, want, lower=0.0):
+def brute_rates(n, p, want, lower=0.0, rounds=20000):
     """Plain projected gradient with small steps, run to convergence."""
     r = np.ones(len(n))
     a = p * n[:, None]
     m = np.linalg.pinv((p * n[:, None]).T @ p)
-    for _ in range(20000):
+    for _ in range(rounds):
         move = p @ (m @ (a.T @ r - want)) * (n > 0)
         new = np.maximum(lower, r - 0.5 * move)
         if np.abs(new - r).max() < 1e-12:
@@ -170,9 +170,12 @@ def test_held_out_accuracy_and_targets(spark):
     right = table.join(marks.where(held & F.col("domain").isNotNull()), "doc_id").agg(F.avg((best == F.col("domain")).cast("int"))).first()[0]
     assert right > 0.92  # one in seven toxic labels is on a text that says nothing toxic
     mixed = {r.domain: r.mixed for r in mixing.totals(table, list(mixing.TARGETS)).collect()}
-    total = sum(mixed.values())
-    # so about 1 % of toxic mass is everywhere
-    assert all(abs(mixed[d] / total - w) < 0.015 for d, w in mixing.TARGETS.items()), mixed
+    rows = np.array(table.select("n_tokens", "p0", "p1", "p2").collect(), float)
+    want = np.array(list(mixing.TARGETS.values()))
+    have = rows[:, 0] @ rows[:, 1:]
+    best = brute_rates(rows[:, 0], rows[:, 1:], want * min(have[0] / 0.97, have[1] / 0.03), rounds=2000)
+    # what no rates can meet (toxic labels on texts that say nothing toxic) stays; the rest does not
+    assert np.abs(np.array([mixed[d] for d in mixing.TARGETS]) - best).max() < 0.003 * have.sum(), (mixed, best)
     table.unpersist()
 
 
