@@ -63,17 +63,29 @@ def with_bbox(boundaries: DataFrame) -> DataFrame:
 
 
 def boundary_cells(boundaries: DataFrame, cell: float = CELL) -> DataFrame:
-    """Grid cells ``(cx, cy, candidates)`` with the boundaries whose box covers them."""
+    """Grid cells ``(cx, cy, candidates)`` with the boundaries whose box covers them.
+
+    A cell holds of a boundary's edges only those that a ray to the right from a point
+    of the cell can meet: those that reach into its row and not only left of it.
+    """
     steps = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    rows = with_bbox(boundaries).select(
-        F.named_struct(
-            F.lit("geography"), F.col("geography"), F.lit("geography_value"), F.col("geography_value"),
-            F.lit("properties"), F.col("properties"), F.lit("parts"), F.transform("polygons", _edges),
-        ).alias("b"),
-        F.explode(steps("min_lon", "max_lon")).alias("cx"), "min_lat", "max_lat",
+    # one row of the grid after the other: a boundary's edges are spread over its rows before its columns
+    bands = with_bbox(boundaries).select(
+        "geography", "geography_value", "properties", F.transform("polygons", _edges).alias("parts"), "min_lon", "max_lon",
+        F.explode(steps("min_lat", "max_lat")).alias("cy"),
     )
-    rows = rows.select("b", "cx", F.explode(steps("min_lat", "max_lat")).alias("cy"))
-    return rows.groupBy("cx", "cy").agg(F.collect_list("b").alias("candidates"))
+    # a hair wider than the row, for points that division puts on its rim
+    bottom, top = (F.col("cy") - 1e-6) * cell, (F.col("cy") + 1 + 1e-6) * cell
+
+    def in_band(e: Column) -> Column:
+        return (F.least(e["y1"], e["y2"]) <= top) & (F.greatest(e["y1"], e["y2"]) >= bottom)
+
+    bands = bands.withColumn("parts", F.transform("parts", lambda edges: F.filter(edges, in_band)))
+    cells = bands.select("*", F.explode(steps("min_lon", "max_lon")).alias("cx"))
+    left = (F.col("cx") - 1e-6) * cell
+    ahead = F.transform("parts", lambda edges: F.filter(edges, lambda e: F.greatest(e["x1"], e["x2"]) >= left))
+    cells = cells.withColumn("parts", F.filter(ahead, lambda edges: F.size(edges) > 0)).where(F.size("parts") > 0)
+    return cells.groupBy("cx", "cy").agg(F.collect_list(F.struct("geography", "geography_value", "properties", "parts")).alias("candidates"))
 
 
 def spatial_join(requests: DataFrame, boundaries: DataFrame, cell: float = CELL) -> DataFrame:
@@ -201,10 +213,17 @@ def distance_weights(units: DataFrame, threshold: float = 2000.0, row_standardiz
     return out
 
 
+#: entries of a weight table that an estimator on the driver takes
+WEIGHT_LIMIT = 5_000_000
+
+
 def weights_to_dict(weights: DataFrame) -> dict[str, dict[str, float]]:
-    """Driver-side adjacency of a small weight table."""
+    """Driver-side adjacency of a weight table of at most ``WEIGHT_LIMIT`` entries."""
     out: dict[str, dict[str, float]] = {}
-    for r in weights.collect():
+    rows = weights.limit(WEIGHT_LIMIT + 1).collect()
+    if len(rows) > WEIGHT_LIMIT:
+        raise ValueError(f"The weights have more than {WEIGHT_LIMIT} entries.")
+    for r in rows:
         out.setdefault(r["unit_a"], {})[r["unit_b"]] = r["w"]
     return out
 

@@ -36,9 +36,12 @@ def run_topic_pipeline(spark: SparkSession, source: str | SocrataConfig, complai
 
 
 def fetch_service_requests(spark: SparkSession, source: str | SocrataConfig, filters: ServiceRequestFilter | None = None,
-                           target: ExportTarget | None = None) -> DataFrame:
-    """Requests of a source, also written as a CSV snapshot if a target is given."""
+                           target: ExportTarget | None = None, single_file: bool = True) -> DataFrame:
+    """Requests of a source, also written as a CSV snapshot if a target is given.
+
+    A plan's extract is one file, as its users open it; ``single_file=False`` writes part files.
+    """
     requests = load_service_requests(spark, source, filters)
     if target is not None:
-        sinks.export_service_requests_csv(requests, target)
+        sinks.export_service_requests_csv(requests, target, single_file)
     return requests

@@ -670,13 +670,13 @@ def changepoints(spark, d):
 def hawkes(spark, d):
     events = table(spark, d, "events").select("event_type", "event_id", (F.unix_seconds(F.col("ts").cast("timestamp")) / 3600.0).alias("t"))
     names = ("background_rate", "triggering_kernel_alpha", "triggering_kernel_beta", "log_likelihood")
-    run = lambda t: [tuple(float(series.fit_hawkes(t, 30)[n]) for n in names)] if len(set(t)) > 2 else []
-    return series.per_series(events, ["event_type"], "t", "t", run, ", ".join(f"{n} double" for n in names))
+    run = lambda t: [tuple(float(found[n]) for n in names) for found in [series.fit_hawkes(t)]] if len(set(t)) > 2 else []
+    return series.per_series(events, ["event_type"], "t", "t", run, ", ".join(f"{n} double" for n in names), series.EVENT_LIMIT)
 
 
 @query()
 def synth_control(spark, d):
-    found = causal.synthetic_control(panel(spark, d), "NATION_0", "complaint_count", 10)
+    found = causal.synthetic_control(panel(spark, d), "NATION_0", "complaint_count", 25)
     return long_rows(spark, found["donor_weights"] | {"_att": found["att"], "_p": found["placebo_p_value"]})
 
 
@@ -692,14 +692,30 @@ def moran_test(spark, d):
 
 @query()
 def local_moran_test(spark, d):
-    found = spatial_models.local_moran_test(_values(spark, d), S.weights_to_dict(weights(spark)), 199)
+    found = spatial_models.local_moran_test(_values(spark, d), S.weights_to_dict(weights(spark)))
     return spark.createDataFrame([(r["unit_id"], float(r["local_statistic"]), float(r["p_value"]), r["label"]) for r in found], "unit_id string, local_statistic double, p_value double, label string")
 
 
-@query()
+_GWR = f"""WITH {PANEL}, {GRID}, v AS (SELECT community_district AS unit_id, CAST(count(*) AS DOUBLE) AS y FROM req GROUP BY 1),
+u AS (SELECT v.unit_id, v.y AS o, r.x AS x, g.x + 0.04 AS lon, g.y + 0.024 AS lat FROM v JOIN g ON g.v = v.unit_id JOIN (SELECT unit_id, avg(resolution_rate) AS x FROM p GROUP BY 1) r USING (unit_id)),
+d AS (SELECT a.unit_id AS i, b.unit_id AS j, a.x AS xi, a.o AS oi, b.x AS x, b.o AS o, sqrt((a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2) AS d FROM u a, u b),
+q AS (SELECT unnest(quantile_cont(d, [0.25, 0.5, 0.75, 0.9])) AS h FROM d WHERE d > 0),
+w AS (SELECT q.h, d.*, exp(-0.5 * (d / q.h) ** 2) AS w FROM d, q),
+s AS (SELECT h, i, i = j AS own, xi, oi, w, x, o FROM w),
+l AS (SELECT h, i, any_value(xi) AS xi, any_value(oi) AS oi, sum(w) AS n, sum(w * x) AS sx, sum(w * o) AS sy, sum(w * x * x) AS sxx, sum(w * x * o) AS sxy FROM s WHERE NOT own GROUP BY h, i),
+e AS (SELECT h, sum((oi - ((sy - b * sx) / n + b * xi)) ** 2) AS error FROM (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b FROM l) GROUP BY h),
+k AS (SELECT h FROM e ORDER BY error, h LIMIT 1),
+f AS (SELECT i, h, sum(w) AS n, sum(w * x) AS sx, sum(w * o) AS sy, sum(w * x * x) AS sxx, sum(w * x * o) AS sxy FROM s JOIN k USING (h) GROUP BY i, h),
+c AS (SELECT *, (sy - b * sx) / n AS a FROM (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b FROM f)),
+r AS (SELECT c.i, 1 - sum(w * (o - a - b * x) ** 2) / sum(w * (o - sy / n) ** 2) AS r2 FROM c JOIN s ON s.i = c.i AND s.h = c.h GROUP BY c.i)
+SELECT i AS unit_id, unnest(['CONSTANT', 'resolution_rate']) AS name, round(unnest([a, b]), 4) AS coefficient, round(r2, 6) AS local_r_squared, round(h, 6) AS bandwidth FROM c JOIN r USING (i)"""
+
+
+@query(_GWR)
 def gwr(spark, d):
     units = volumes(spark, d).join(S.centroids(grid_boundaries(spark)), "unit_id").join(P.cross_section(panel(spark, d), ["resolution_rate"]), "unit_id")
-    return spatial_models.gwr(units, "value", ["resolution_rate"], kernel="gaussian")
+    found = spatial_models.gwr(units, "value", ["resolution_rate"], kernel="gaussian")
+    return rounded(found.withColumn("coefficient", F.round("coefficient", 4)), 6)
 
 
 def _spatial(spark, d, model: str) -> DataFrame:
@@ -716,27 +732,27 @@ query(name="spatial_error_ml")(lambda spark, d: _spatial(spark, d, "error"))
 
 @query()
 def random_effects(spark, d):
-    pdf = panel(spark, d).select("unit_id", "period", F.col("complaint_count").cast("double").alias("y"), "resolution_rate").toPandas()
-    return long_rows(spark, regression.panel_random_effects(pdf, "y", ["resolution_rate"])["coefficients"], "name")
+    rows = panel(spark, d).select("unit_id", "period", F.col("complaint_count").cast("double").alias("y"), "resolution_rate")
+    return long_rows(spark, regression.panel_random_effects(regression.small_panel(rows), "y", ["resolution_rate"])["coefficients"], "name")
 
 
 @query()
 def mixed_adjust(spark, d):
-    return long_rows(spark, regression.reporting_rate_adjustment(monthly(spark, d).toPandas(), "y")["adjusted_rates"])
+    return long_rows(spark, regression.reporting_rate_adjustment(regression.small_panel(monthly(spark, d)), "y")["adjusted_rates"])
 
 
-@query()
+@query(f"""WITH {REQ}, c AS (SELECT community_district AS unit_id, count(*) AS n FROM req GROUP BY 1) SELECT unit_id, round(2 * n / 10000.0, 9)::DOUBLE AS value FROM c""")
 def latent_em(spark, d):
     counts = _values(spark, d)
     found = inequality.latent_reporting_em(counts, dict.fromkeys(counts, 10_000.0))
-    return long_rows(spark, found["estimated_true_rates"])
+    return rounded(long_rows(spark, found["estimated_true_rates"]))
 
 
 @query()
 def bym2(spark, d):
     counts = _values(spark, d)
     mean = sum(counts.values()) / len(counts)
-    found = spatial_models.bym2_smooth(counts, dict.fromkeys(counts, mean), S.weights_to_dict(weights(spark)), 200, 100)
+    found = spatial_models.bym2_smooth(counts, dict.fromkeys(counts, mean), S.weights_to_dict(weights(spark)))
     return long_rows(spark, found["smoothed_rates"])
 
 

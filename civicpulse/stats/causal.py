@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dist import NORMAL, f_sf, normal_p
+from .regression import small_panel
 
 
 def _cohorts(panel: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def synthetic_control(panel: DataFrame, unit: str, outcome: str, n_placebo_runs:
     if own["treatment_date"] is None:
         raise ValueError(f"Unit {unit!r} has no treatment event.")
     date = own["treatment_date"]
-    pdf = panel.select("unit_id", "period", "treatment_date", F.col(outcome).cast("double").alias("y")).toPandas()
+    pdf = small_panel(panel.select("unit_id", "period", "treatment_date", F.col(outcome).cast("double").alias("y")))
     wide = pdf.pivot_table(index="period", columns="unit_id", values="y", aggfunc="mean").sort_index()
     pre = int((wide.index < date.isoformat()[:7]).sum())
     same = set(pdf.loc[pdf["treatment_date"] == date, "unit_id"])

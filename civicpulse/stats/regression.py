@@ -139,6 +139,18 @@ def panel_fixed_effects(panel: DataFrame, outcome: str, regressors: list[str], t
     }
 
 
+#: rows of a panel that an estimator on the driver takes
+PANEL_LIMIT = 2_000_000
+
+
+def small_panel(panel: DataFrame) -> pd.DataFrame:
+    """A unit-by-period panel on the driver; more than ``PANEL_LIMIT`` rows are an error."""
+    pdf = panel.limit(PANEL_LIMIT + 1).toPandas()
+    if len(pdf) > PANEL_LIMIT:
+        raise ValueError(f"Panels of more than {PANEL_LIMIT} rows do not fit this estimator.")
+    return pdf
+
+
 def panel_random_effects(panel: pd.DataFrame, outcome: str, regressors: list[str]) -> dict:
     """Random effects by quasi-demeaning with variance components from the within and
     between regressions; no constant is added.  ``panel`` is small (unit by period)."""

@@ -8,16 +8,25 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: events of a series that one task fits
+EVENT_LIMIT = 5_000_000
 PERIODS = {"D": 7, "W": 52, "M": 12, "ME": 12, "Q": 4, "QE": 4}
 
 
-def per_series(df: DataFrame, keys: list[str], order: str, value: str, run: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
+def per_series(df: DataFrame, keys: list[str], order: str, value: str, run: Callable[[np.ndarray], list[tuple]], schema: str,
+               limit: int | None = None) -> DataFrame:
     """Run ``run(values)`` on every series; one task per key group, rows in order.
 
-    ``run`` returns rows without the keys.  A series is one group: its length is
-    the number of periods or events of a unit.
+    ``run`` returns rows without the keys.  A series is one group and one task: its length is
+    the number of periods or events of a unit.  With ``limit`` the lengths are counted
+    first, and a series beyond it is an error rather than a task out of memory.
     """
+    if limit is not None:
+        longest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+        if longest > limit:
+            raise ValueError(f"A series has {longest} values; at most {limit} fit a task. Split it by period.")
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
     names = [c.strip().split()[0] for c in schema.split(",")]
 
@@ -140,8 +149,8 @@ def stl_anomalies(y: np.ndarray, period: int, threshold: float = 2.0) -> tuple[n
 def fit_hawkes(times: np.ndarray, rounds: int = 1000) -> dict:
     """Self-exciting process with an exponential kernel by expectation-maximisation.
 
-    Sums over earlier events follow a recursion along the events, so a round is
-    linear in their number.  ``branching_ratio`` is alpha over beta;
+    Sums over earlier events follow a recursion along the events, run in blocks of cumulative
+    sums, so a round is linear in their number.  ``branching_ratio`` is alpha over beta;
     ``mean_offspring`` (alpha) is the expected number of events one triggers.
     """
     t = np.sort(np.asarray(times, float))
@@ -152,15 +161,27 @@ def fit_hawkes(times: np.ndarray, rounds: int = 1000) -> dict:
     span = float(t[-1])
     if span <= 0:
         raise ValueError("Events must not all be at one time.")
-    gaps = np.diff(t)
     mu, alpha, beta = n / (2 * span), 0.1, 1.0
 
     def sums(beta: float) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.zeros(n), np.zeros(n)  # sum of decays, and of decays times distance
-        for i, g in enumerate(gaps):
-            e = math.exp(-beta * g)
-            a[i + 1] = e * (a[i] + 1)
-            b[i + 1] = e * (b[i] + g * (a[i] + 1))
+        """Sum of decays, and of decays times distance, over the events before each."""
+        a, b = np.empty(n), np.empty(n)
+        start, count, moment = 0, 0.0, 0.0  # decayed to the block's first event: events before it, their distances
+        while start < n:
+            # within a block the weights of its events stay in the range of a double
+            stop = max(start + 1, int(np.searchsorted(t, t[start] + 300.0 / beta))) if beta > 0 else n
+            own = t[start:stop] - t[start]
+            grow, fade = np.exp(beta * own), np.exp(-beta * own)
+            before = np.cumsum(grow) - grow
+            far = np.cumsum(grow * own) - grow * own
+            a[start:stop] = fade * (count + before)
+            b[start:stop] = fade * (moment + count * own + own * before - far)
+            if stop < n:
+                gap = float(t[stop] - t[start])
+                last, decay = own[-1], float(np.exp(-beta * (gap - own[-1])))
+                at_last = a[stop - 1] + 1.0
+                count, moment = decay * at_last, decay * (b[stop - 1] + at_last * (gap - last))
+            start = stop
         return a, b
 
     for _ in range(rounds):

@@ -240,7 +240,7 @@ def test_local_regression_equals_one_unit_at_a_time(spark):
         for r in got:
             i = int(r.unit_id[1:])
             beta = fit(i, h, shape)
-            assert r.coefficient == pytest.approx(beta[r.name == "x"], rel=1e-6, abs=1e-8)
+            assert r.coefficient == pytest.approx(beta[int(r.name == "x")], rel=1e-6, abs=1e-8)
             w = np.array([shape(u / h) for u in d[i]])
             r2 = 1 - (w * (y - x @ beta) ** 2).sum() / (w * (y - np.average(y, weights=w)) ** 2).sum()
             assert r.local_r_squared == pytest.approx(r2, rel=1e-6, abs=1e-8)
