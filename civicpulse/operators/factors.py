@@ -1,8 +1,10 @@
 """Per-area factors: all of a pipeline run in one aggregation.
 
 A factor is a set of aggregate Columns over the requests of a context and an
-expression on their results.  Factors that need counts per type or per place
-read them from one pre-aggregation each, whose rows are then summed.
+expression on their results.  The requests of all contexts are read and shuffled
+once, counted by every column that the pipeline's factors need; factors over days,
+types or places read that table of counts (Spark reuses its shuffle).  A factor of
+one's own without ``pre`` aggregates the requests themselves, a second reading.
 """
 
 from __future__ import annotations
@@ -26,15 +28,19 @@ class Factor:
     name: str
     result: Callable[[], Column]
     partial: Callable[[], tuple[Column, ...]] = tuple
-    pre: str | None = None  # "type" or "place": aggregate rows (n) of that grouping instead
+    pre: str | None = None  # "day", "type" or "place": aggregate counts (n) of that grouping instead
 
 
-def _solved() -> Column:
-    return F.col("resolution_description").isNotNull()
+def _days() -> Column:
+    return F.when(F.col("_solved"), F.greatest(F.datediff("window_end", "created_date"), F.lit(0)))
 
 
-def _days() -> Column:
-    return F.when(_solved(), F.greatest(F.datediff("window_end", "created_date"), F.lit(0)))
+def _median_days() -> Column:
+    return F.percentile(_days(), F.lit(0.5), F.col("n"))
+
+
+def _mean_days() -> Column:
+    return F.sum(_days() * F.col("n")) / F.sum(F.when(F.col("_solved"), F.col("n")))
 
 
 def complaint_volume(per_capita: bool = False, strict: bool = False) -> Factor:
@@ -53,8 +59,8 @@ def resolution_time(method: str = "median") -> Factor:
     """Days from creation to the end of the window over resolved requests; -1 without any."""
     if method not in ("median", "mean"):
         raise ValueError(f"Unknown method: {method!r}.")
-    agg = lambda: F.percentile(_days(), F.lit(0.5)) if method == "median" else F.avg(_days())
-    return Factor("resolution_time", lambda: F.coalesce("_days", F.lit(-1.0)), lambda: (agg().alias("_days"),))
+    agg = _median_days if method == "median" else _mean_days
+    return Factor("resolution_time", lambda: F.coalesce("_days", F.lit(-1.0)), lambda: (agg().alias("_days"),), "day")
 
 
 def topic_concentration() -> Factor:
@@ -79,7 +85,8 @@ def anomaly_score(mean: float, std: float) -> Factor:
 
 
 def response_rate() -> Factor:
-    return Factor("response_rate", lambda: F.coalesce("_rate", F.lit(0.0)), lambda: (F.avg(_solved().cast("double")).alias("_rate"),))
+    rate = lambda: (F.sum(F.when(F.col("_solved"), F.col("n")).otherwise(0)) / F.sum("n")).alias("_rate")
+    return Factor("response_rate", lambda: F.coalesce("_rate", F.lit(0.0)), lambda: (rate(),), "day")
 
 
 def recurrence() -> Factor:
@@ -94,7 +101,7 @@ def equity_gap(citywide_median_days: float) -> Factor:
     def result() -> Column:
         return F.coalesce(F.col("_gap_days") / citywide_median_days, F.lit(0.0)) if citywide_median_days > 0 else F.lit(0.0)
 
-    return Factor("equity_gap", result, lambda: (F.percentile(_days(), F.lit(0.5)).alias("_gap_days"),))
+    return Factor("equity_gap", result, lambda: (_median_days().alias("_gap_days"),), "day")
 
 
 def spatial_lag(values: DataFrame, weights: DataFrame) -> DataFrame:
@@ -123,28 +130,34 @@ class Pipeline:
         """One row per context ``(geography_id, window_start, window_end, population)``, one column per factor.
 
         Requests are matched to contexts by geography and date; contexts are
-        small and every context comes back, also an empty one.
+        small and every context comes back, also an empty one and one that is given twice.
         """
         if not self.factors:
             raise ValueError("A pipeline needs a factor.")
         keys = ["geography_id", *WINDOW]
         inside = F.col("created_date").between(F.col("window_start"), F.col("window_end"))
-        rows = requests.join(contexts, (F.col(geography) == F.col("geography_id")) & inside)
+        rows = requests.join(contexts.select(*keys).distinct(), (F.col(geography) == F.col("geography_id")) & inside)
 
         def attach(found: DataFrame, part: DataFrame) -> DataFrame:
             part = part.withColumnsRenamed({k: f"_k_{k}" for k in keys})
             same = N.all_of([F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
             return found.join(part, same, "left").drop(*[f"_k_{k}" for k in keys])
 
-        plain = [c for f in self.factors if f.pre is None for c in f.partial()]
-        found = attach(contexts.select(*keys), rows.groupBy(*keys).agg(F.count("*").alias("_n"), *plain))
-        groupings = {"type": (["complaint_type"], F.lit(True)),
-                     "place": (["_lat", "_lon"], F.col("latitude").isNotNull() & F.col("longitude").isNotNull())}
-        for pre, (by, where) in groupings.items():
-            wanted = [c for f in self.factors if f.pre == pre for c in f.partial()]
-            if wanted:
-                placed = rows.withColumns({"_lat": F.round("latitude", 4), "_lon": F.round("longitude", 4)}).where(where)
-                found = attach(found, placed.groupBy(*keys, *by).agg(F.count("*").alias("n")).groupBy(*keys).agg(*wanted))
+        columns = {
+            "day": {"created_date": F.col("created_date"), "_solved": F.col("resolution_description").isNotNull()},
+            "type": {"complaint_type": F.col("complaint_type")},
+            "place": {"_lat": F.round("latitude", 4), "_lon": F.round("longitude", 4)},
+        }
+        wanted = {pre: [c for f in self.factors if f.pre == pre for c in f.partial()] for pre in (None, *columns)}
+        by = {name: c for pre, own in columns.items() if wanted[pre] for name, c in own.items()}
+        counts = rows.select(*keys, *[c.alias(n) for n, c in by.items()]).groupBy(*keys, *by).agg(F.count("*").alias("n"))
+        found = attach(contexts.select(*keys), counts.groupBy(*keys).agg(F.sum("n").alias("_n"), *wanted["day"]))
+        for pre in ("type", "place"):
+            if wanted[pre]:
+                own = counts.where("_lat is not null and _lon is not null") if pre == "place" else counts
+                found = attach(found, own.groupBy(*keys, *columns[pre]).agg(F.sum("n").alias("n")).groupBy(*keys).agg(*wanted[pre]))
+        if wanted[None]:
+            found = attach(found, rows.groupBy(*keys).agg(*wanted[None]))
         found = found.na.fill(0, ["_n"])
         return found.select(*keys, *[f.result().alias(f.name) for f in self.factors])
 

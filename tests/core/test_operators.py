@@ -194,3 +194,20 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted((str(r.window_start), r.kind, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     want = sorted((str(r.window_start), r.kind, r.n) for r in streaming.windowed_counts(df, "ts", ["kind"]).where("window_start < '2024-02-01'").collect())
     assert got == want and len(got) == 4
+
+
+def test_contexts_given_twice_and_one_reading(spark):
+    rows = [(str(i), date(2024, 1, 1 + i), ("a", "b")[i % 2], "x", "P", "Q", None if i % 3 else "done", 40.7, -74.0 + i % 2) for i in range(10)]
+    schema = "service_request_id string, created_date date, complaint_type string, descriptor string, borough string, community_district string, resolution_description string, latitude double, longitude double"
+    requests = spark.createDataFrame(rows, schema)
+    context = ("Q", date(2024, 1, 1), date(2024, 1, 31), 100)
+    contexts = spark.createDataFrame([context, context], "geography_id string, window_start date, window_end date, population long")
+    pipe = FA.Pipeline((FA.complaint_volume(), FA.resolution_time("mean"), FA.topic_concentration(), FA.response_rate(), FA.recurrence()))
+    out = pipe.run(requests, contexts, "community_district")
+    got = out.collect()
+    assert len(got) == 2 and got[0] == got[1]
+    r = got[0]
+    assert (r.complaint_volume, r.topic_concentration, r.response_rate, r.recurrence) == (10.0, 0.5, 0.4, 1.0)
+    assert r.resolution_time == sum((date(2024, 1, 31) - date(2024, 1, 1 + i)).days for i in (0, 3, 6, 9)) / 4
+    own = FA.Pipeline((FA.complaint_volume(), FA.Factor("last", lambda: F.col("_last"), lambda: (F.max("service_request_id").alias("_last"),))))
+    assert own.run(requests, contexts, "community_district").first().last == "9"
