@@ -680,6 +680,12 @@ def synth_control(spark, d):
     return long_rows(spark, found["donor_weights"] | {"_att": found["att"], "_p": found["placebo_p_value"]})
 
 
+@query()
+def sdid(spark, d):
+    found = causal.synthetic_did(panel(spark, d), "complaint_count", 25)
+    return long_rows(spark, found["unit_weights"] | {"_att": found["att"], "_se": found["std_error"]})
+
+
 def _values(spark, d) -> dict[str, float]:
     return {r["unit_id"]: r["value"] for r in volumes(spark, d).collect()}
 

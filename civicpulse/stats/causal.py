@@ -160,6 +160,60 @@ def synthetic_control(panel: DataFrame, unit: str, outcome: str, n_placebo_runs:
             "att": float(np.mean(effect[pre:])), "pre_treatment_mspe": float(np.mean(effect[:pre] ** 2)), "placebo_p_value": p}
 
 
+def _sdid(wide: np.ndarray, treated: list[int], donors: list[int], pre: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Effect, unit weights and time weights of synthetic difference in differences."""
+    y, target = wide[:, donors], wide[:, treated].mean(axis=1)
+    post = len(wide) - pre
+    noise = float(np.std(np.diff(y[:pre], axis=0), ddof=1)) if pre > 2 else 0.0
+    ridge = (len(treated) * post) ** 0.25 * noise
+
+    def weights(columns: np.ndarray, goal: np.ndarray, penalty: float) -> np.ndarray:
+        """On the simplex, a constant free: both sides without their means, the penalty as further rows."""
+        size = columns.shape[1]
+        a = np.vstack([columns - columns.mean(axis=0), np.sqrt(penalty) * np.eye(size)])
+        return simplex_weights(np.r_[goal - goal.mean(), np.zeros(size)], a)
+
+    units = weights(y[:pre], target[:pre], ridge**2 * pre)
+    times = weights(y[:pre].T, y[pre:].mean(axis=0), 1e-6 * noise**2 * len(donors))
+    change = lambda v: v[pre:].mean(axis=0) - times @ v[:pre]
+    return float(change(target) - change(y) @ units), units, times
+
+
+def synthetic_did(panel: DataFrame, outcome: str, n_placebo_runs: int = 0) -> dict:
+    """Synthetic difference in differences for the units of the first treatment date.
+
+    Controls are the never-treated units with a value in every period.  With
+    ``n_placebo_runs`` the standard error is that of as many controls that are each taken
+    for treated, run as Spark tasks.
+    """
+    pdf = small_panel(panel.select("unit_id", "period", "treatment_date", F.col(outcome).cast("double").alias("y")))
+    dates = pdf["treatment_date"].dropna()
+    if dates.empty:
+        raise ValueError("No unit of the panel is treated.")
+    date = dates.min()
+    wide = pdf.pivot_table(index="period", columns="unit_id", values="y", aggfunc="mean").sort_index()
+    pre = int((wide.index < date.isoformat()[:7]).sum())
+    own, ever = set(pdf.loc[pdf["treatment_date"] == date, "unit_id"]), set(pdf.loc[pdf["treatment_date"].notna(), "unit_id"])
+    whole = ~wide.isna().any()
+    treated, donors = ([k for k, u in enumerate(wide.columns) if ok(u) and whole[u]] for ok in (own.__contains__, lambda u: u not in ever))
+    if pre < 2 or pre >= len(wide) or not treated or len(donors) < 2:
+        raise ValueError("Need two periods before and one after the treatment, a treated unit and two controls.")
+    values, names = wide.to_numpy(), list(wide.columns)
+    effect, units, times = _sdid(values, treated, donors, pre)
+    error = None
+    if n_placebo_runs > 1 and len(donors) > 2:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"effect": [_sdid(values, [int(k)], [d for d in donors if d != k], pre)[0] for k in b["k"]]})
+
+        some = donors[:n_placebo_runs]
+        frame = panel.sparkSession.createDataFrame([(k,) for k in some], "k long").repartition(min(len(some), 32))
+        error = float(np.std([r["effect"] for r in frame.mapInPandas(run, "effect double").collect()]))
+    return {"method": "sdid", "att": effect, "std_error": error, "p_value": normal_p(effect / error) if error else None,
+            "treated_units": tuple(names[k] for k in treated), "unit_weights": {names[k]: float(w) for k, w in zip(donors, units, strict=True) if w > 1e-4},
+            "time_weights": {p: float(w) for p, w in zip(wide.index[:pre], times, strict=True) if w > 1e-4}, "n_periods": len(wide)}
+
+
 def minimum_detectable_effect(n_units: int, n_periods: int, proportion_treated: float = 0.5, alpha: float = 0.05, power: float = 0.8,
                               icc: float = 0.05, variance: float = 1.0, r_squared: float = 0.0) -> float:
     """Closed form for a clustered panel with a design effect of the intra-class correlation."""

@@ -1,8 +1,8 @@
 """Estimators by family name.
 
-Families whose estimators come from third-party engines elsewhere (synthetic
-difference in differences, mediation, survival, heterogeneous effects, double
-machine learning, climate, diffusion) are not built here and raise.
+Families whose estimators come from third-party engines elsewhere (mediation,
+survival, heterogeneous effects, double machine learning, climate, diffusion) are not
+built here and raise.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ ESTIMATORS: dict[str, dict[str, Callable[..., Any]]] = {
     "did": {"pooled": causal.staggered_did, "group_time": causal.group_time_effects, "att_gt": causal.att_gt},
     "event_study": {"default": causal.event_study_effects},
     "scm": {"default": causal.synthetic_control},
+    "sdid": {"sdid": causal.synthetic_did},
     "rdd": {"default": regression.regression_discontinuity},
     "panel_reg": {"fe": regression.panel_fixed_effects, "re": regression.panel_random_effects},
     "changepoint": {"pelt": series.changepoints},
@@ -25,7 +26,7 @@ ESTIMATORS: dict[str, dict[str, Callable[..., Any]]] = {
     "spatial": {"moran": spatial_models.moran_test, "lisa": spatial_models.local_moran_test, "regression": spatial_models.spatial_regression, "gwr": spatial_models.gwr, "bym2": spatial_models.bym2_smooth},
     "reporting_bias": {"mixed": regression.reporting_rate_adjustment, "em": inequality.latent_reporting_em},
 }
-UNSUPPORTED = ("sdid", "mediation", "survival", "het_te", "dml", "climate", "diffusion")
+UNSUPPORTED = ("mediation", "survival", "het_te", "dml", "climate", "diffusion")
 
 
 def estimate(family: str, method: str | None = None, /, *args: Any, **kw: Any) -> Any:

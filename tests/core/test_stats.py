@@ -261,3 +261,24 @@ def test_latent_rates_with_silent_units():
     # a round of the model from its own result changes nothing but what the tolerance leaves
     again = inequality.latent_reporting_em(counts, people, cov, max_iter=401)
     assert again["n_iterations"] == em["n_iterations"] or not em["converged"]
+
+
+def test_synthetic_did_finds_a_planted_effect(spark):
+    """Parallel series with a drop of five in one unit; a common shock and noise change little."""
+
+    rng = np.random.default_rng(3)
+    for noise, tolerance in ((0.0, 1e-6), (0.3, 0.8)):
+        shock = rng.normal(0, 3, 24)
+        rows = []
+        for u in range(8):
+            for t in range(24):
+                treated = u == 0 and t >= 12
+                y = 50 + 1.5 * u + 0.2 * t + shock[t] - 5 * treated + noise * rng.normal()
+                rows.append((f"U{u}", f"{2024 + t // 12}-{t % 12 + 1:02d}", date(2025, 1, 1) if u == 0 else None, float(y)))
+        panel = spark.createDataFrame(rows, "unit_id string, period string, treatment_date date, y double")
+        got = causal.synthetic_did(panel, "y", 7)
+        assert got["att"] == pytest.approx(-5, abs=tolerance) and got["treated_units"] == ("U0",)
+        assert sum(got["unit_weights"].values()) == pytest.approx(1, abs=1e-2) and sum(got["time_weights"].values()) == pytest.approx(1, abs=1e-2)
+    assert got["p_value"] < 0.01 and 0 < got["std_error"] < 1
+    with pytest.raises(ValueError):
+        causal.synthetic_did(panel.where("unit_id <> 'U0'"), "y")
