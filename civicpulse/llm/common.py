@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,21 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def sized_shuffles(spark: SparkSession, rows: int, per_task: int = 200_000) -> Iterator[None]:
+    """Shuffles inside are planned for ``rows`` narrow rows: at most as many tasks as the session says, fewer for small tables.
+
+    Only jobs that run inside are affected; a lazy result is planned by the session's own setting.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), max(1, -(-rows // per_task)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete every table this process wrote to the shared folder; results must be stored before."""
     n = len(_WRITTEN)
@@ -175,6 +191,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     e = materialise(e, "cc")
+    with sized_shuffles(e.sparkSession, 2 * e.count()):
+        e = _stars(e)
+        roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+        return materialise(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "roots")
+
+
+def _stars(e: DataFrame) -> DataFrame:
+    """Every node ``u`` with the least node ``v`` of its component, of stored edges ``u > v``."""
     before = None
     while True:
         # large star: every neighbour above u is hung below the least neighbour of u
@@ -198,7 +222,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         drop_scratch(e)
         e = small
         if before == tuple(state):
-            break
+            return e
         before = tuple(state)
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

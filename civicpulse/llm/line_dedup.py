@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialise, prefix_sums, put_back, read_table, set_apart, text_or_empty
+from .common import drop_scratch, materialise, prefix_sums, put_back, read_table, set_apart, sized_shuffles, text_or_empty
 
 MIN_WORDS = 10
 _SPACE = r"[\x20\x09-\x0D]"
@@ -106,6 +106,12 @@ def repeated_windows(lines: DataFrame) -> DataFrame:
     groups = spots.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     ranks = materialise(order_ranks(groups, ["h1", "h2"]), "ranks")
     level = materialise(spots.join(ranks, ["h1", "h2"]).select("_row", "_id", "j", "m", "upto", "r"), "level")
+    with sized_shuffles(lines.sparkSession, 2 * level.count()):
+        return _later_copies(level)
+
+
+def _later_copies(level: DataFrame) -> DataFrame:
+    """Doubling from the stored ranks of single lines on; only lines found more than once are left."""
     depth, found, old = 1, [], []
     while True:
         ahead = level.select("_row", F.col("j").alias("_at"), F.col("r").alias("r2"))
