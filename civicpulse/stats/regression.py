@@ -236,7 +236,7 @@ def regression_discontinuity(df: DataFrame, x: str, y: str, cutoff: float = 0.0,
     rows = df.select((F.col(x).cast("double") - cutoff).alias("x"), F.col(y).cast("double").alias("y")).dropna()
     sides = rows.agg(F.sum((F.col("x") < 0).cast("long")).alias("l"), F.sum((F.col("x") >= 0).cast("long")).alias("r")).first()
     if min(sides["l"] or 0, sides["r"] or 0) < 3:
-        raise ValueError("Need at least 3 observations on each side of the cutoff.")
+        raise ValueError("The cutoff needs three rows or more below it and as many at or above it.")
     h = rd_bandwidth(rows, "x", "y") if bandwidth is None else bandwidth
     u = F.abs(F.col("x") / h)
     weight = {"triangular": F.greatest(1 - u, F.lit(0.0)), "epanechnikov": F.greatest(0.75 * (1 - u * u), F.lit(0.0))}.get(kernel, F.lit(1.0))
@@ -247,7 +247,7 @@ def regression_discontinuity(df: DataFrame, x: str, y: str, cutoff: float = 0.0,
                                      *[F.sum(F.col("w") * powers[i] * F.col("y")).alias(f"b{i}") for i in range(k)]).collect()
     got = {r["side"]: r for r in first}
     if any(s not in got or got[s]["n"] < 2 for s in (0, 1)):
-        raise ValueError("Too few observations within bandwidth.")
+        raise ValueError("The bandwidth leaves too few rows to fit both lines.")
     beta, bread = {}, {}
     for s, r in got.items():
         a = np.array([[r[f"a{i + j}"] for j in range(k)] for i in range(k)])
