@@ -9,12 +9,14 @@ The stream is cut every ``length`` tokens; its rest is cut at powers of two, so
 nothing is padded.
 
 Defined cases: a null or empty text is the end id alone; documents with equal
-keys follow by id (nulls first), then row; repeated rows are packed each; an
+keys follow by id (nulls first), then row; very long texts are encoded whole and cut
+over as many sequences as they fill; repeated rows are packed each; an
 empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -118,9 +120,46 @@ class WordEncoder:
         ]
 
 
+class TextEncoder:
+    """Encoder of whole texts for any other tokenizer file."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind) for t in texts]
+
+
+#: the settings of a tokenizer whose words :class:`WordEncoder` cuts by itself
+_CUTS_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "suffix": "</w>",
+}
+
+
+def cuts_words(path: str) -> bool:
+    """Whether the tokenizer of a file lower-cases, cuts words and marks their ends as :class:`WordEncoder` needs it."""
+    with open(path, encoding="utf-8") as f:
+        settings = json.load(f)
+    parts = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = {k: v for k, v in parts[0].items() if k != "type"}
+    return (
+        settings.get("normalizer") == _CUTS_WORDS["normalizer"]
+        and split == {"pattern": {"Regex": _CUTS_WORDS["split"]}, "behavior": "Removed", "invert": True}
+        and len(parts) == 2 and parts[1].get("type") == "ByteLevel" and parts[1].get("add_prefix_space") is False
+        and settings["model"].get("end_of_word_suffix") == _CUTS_WORDS["suffix"]
+    )
+
+
 @lru_cache(maxsize=1)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def word_encoder(path: str) -> WordEncoder | TextEncoder:
+    """The fast encoder where the file's settings allow it, the tokenizer itself elsewhere."""
+    return WordEncoder(path) if cuts_words(path) else TextEncoder(path)
 
 
 @lru_cache(maxsize=1)

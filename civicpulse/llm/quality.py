@@ -10,7 +10,7 @@ positions, so a text of n words costs n log n and nothing is shuffled.
 
 Defined cases: a null text counts as no text (no words: it fails the length
 rule); documents without a host form one host of their own; repeated rows are
-judged row by row; an empty table gives no rows; columns of the input other than
+judged row by row; very long texts are measured whole, inside their row; an empty table gives no rows; columns of the input other than
 id, text and host are ignored.
 """
 

@@ -11,7 +11,8 @@ link is lost, whatever the data.
 
 Defined cases: a null text counts as empty; a text without words has the
 fingerprint zero and is linked like any other; with fewer words than a shingle
-the whole word sequence is hashed; equal fingerprints are one node of the graph
+the whole word sequence is hashed; very long texts are hashed whole, a block of
+shingles at a time; equal fingerprints are one node of the graph
 (copies are never expanded into pairs); rows with a null id are fingerprinted
 but never name a component; an empty table gives no rows; other columns of the
 input are ignored.

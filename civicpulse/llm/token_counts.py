@@ -10,7 +10,8 @@ block into the next ones and numbers the documents.
 Defined cases: an empty file has no documents; consecutive end ids are documents
 of one token; tokens after the last end id of a file are an open document,
 reported with ``complete`` false; a null or empty text is written as the end id
-alone; repeated rows are counted each; an empty table writes and gives nothing.
+alone; very long texts are encoded whole and may reach over many blocks; repeated
+rows are counted each; an empty table writes and gives nothing.
 """
 
 from __future__ import annotations

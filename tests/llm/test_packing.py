@@ -87,3 +87,29 @@ def test_round_trip(spark):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+@pytest.mark.parametrize("change", ["none", "case", "split", "other"])
+def test_other_tokenizer_files_are_encoded_by_themselves(tmp_path, change):
+    """A file that does not lower-case, or cuts words otherwise, must not be read by the word cache."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from civicpulse.llm import packing
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json")) if change == "other" else str(tmp_path / "t.json")
+    if change != "other":
+        with open(PATH) as f:
+            settings = json.load(f)
+        if change == "case":
+            settings["normalizer"]["normalizers"].pop()
+        elif change == "split":
+            settings["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]+"
+        with open(path, "w") as f:
+            json.dump(settings, f)
+    assert packing.cuts_words(path) == (change == "none")
+    whole, encode = Tokenizer.from_file(path), packing.word_encoder(path)
+    texts = [t or "" for t in TEXTS] + ["Mixed CASE Words 123 and It's 45th"]
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from civicpulse.llm import pii
 from civicpulse.llm.pii import _luhn, base_spans, estimate, more_candidates, pii_spans, train_classifier, votes_and_features
 
 
@@ -146,3 +147,89 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(i, text if i == 0 else f"x token = \"{i:040x}\" y") for i in range(30)], "doc_id long, text string")
     spans = next(r.spans for r in pii_spans(docs).collect() if r.id == 0)
     assert [(s.kind, s.start) for s in spans] == [("email", len(text) - 7), ("secret", 2_000_000)]
+
+
+def brute_votes(text, kind, start, end):
+    """The labelers in words: form, cue word, placeholder, standing alone, variety, named as something else."""
+    value, before = text[start:end], text[max(0, start - 40) : start]
+    low, near, digits = value.lower(), before.lower(), re.sub("[^0-9]", "", value)
+    core = re.sub("^[^=:]*[=:]\\s*[\"']?", "", low) if kind == "secret" else low
+    mixed = bool(re.search("[0-9]", core)) and any(c.isalpha() for c in core)
+    form = {
+        "email": "." in value or "dot" in low, "secret": mixed and len(core) >= 6,
+        "ssn": kind == "ssn" and digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000",
+        "phone": value[0] == "+" or (kind == "phone" and digits[0] not in "01" and digits[3] not in "01"),
+    }.get(kind, True)
+    cue = any(c in near for c in pii.CUES[kind]) or (kind == "secret" and any(c in low for c in pii.CUES[kind]))
+    dummy = low.endswith(pii.PLACEHOLDERS) or (len(digits) > 6 and len(set(digits)) < 3)
+    alone = not re.search(r"\w\Z", before.replace("_", " ")) and not re.match(r"\w", text[end : end + 1].replace("_", " "))
+    numbers = bool(re.search(r"[0-9]\s*\Z", before) or re.match(r"\s*[0-9]", text[end : end + 4]))
+    variety = len(set(core)) >= 6 and not (kind == "secret" and core.isalpha())
+    other = any(w in near for w in pii.OTHER)
+    votes = (2 * form, 2 if cue else 1, 0 if dummy else 1, 2 * (alone and not numbers), 2 * variety, 0 if other else 1)
+    return votes, (form, cue, dummy, alone, numbers, variety, mixed, other)
+
+
+def brute_accepted(found):
+    """EM by kind and one logistic regression, in plain loops; ``found`` has (kind, votes, bits); a probability each."""
+    posterior = [0.0] * len(found)
+    for kind in pii.KINDS:
+        own = [i for i, f in enumerate(found) if f[0] == kind]
+        rows = 40 + 0.02 * len(own)
+        prior = [[0.45, 0.35, 0.2], [0.1, 0.35, 0.55]]
+        for i in own:
+            cast = [v for v in found[i][1] if v != 1]
+            posterior[i] = min(max(sum(v == 2 for v in cast) / max(len(cast), 1), 0.05), 0.95)
+        for _ in range(60):
+            weight = [sum(1 - posterior[i] for i in own), sum(posterior[i] for i in own)]
+            share = [(w + rows / 2) / (len(own) + rows) for w in weight]
+            table = [[[sum((posterior[i] if c else 1 - posterior[i]) for i in own if found[i][1][j] == v) + prior[c][v] * rows for v in range(3)] for c in (0, 1)] for j in range(6)]
+            table = [[[x / sum(row) for x in row] for row in both] for both in table]
+            odds = {i: np.log(share[1] / share[0]) + sum(np.log(table[j][1][v] / table[j][0][v]) for j, v in enumerate(found[i][1])) for i in own}
+            for i in own:
+                posterior[i] = 1 / (1 + np.exp(-odds[i]))
+    x = np.array([[*map(float, bits), *[float(kind == k) for k in pii.KINDS]] for kind, _, bits in found])
+    size = {k: sum(f[0] == k for f in found) for k in pii.KINDS}
+    n, y = np.array([1 / size[f[0]] for f in found]), np.array(posterior)
+    w = np.zeros(x.shape[1])
+    for _ in range(300):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + 1e-5 * np.eye(len(w)), x.T @ (n * (p - y)) + 1e-5 * w)
+        w = w - step * min(1, 5 / np.abs(step).max())
+    return 1 / (1 + np.exp(-x @ w))
+
+
+def test_the_query_equals_brute_force(spark, tmp_path):
+    """All columns of the query, from the patterns to the accepted spans, restated without short cuts."""
+    import hashlib
+
+    texts = [t for i in range(25) for t, _ in planted(i)] + [f"mail a{i}@b.org, 10.0.0.{i} é 4111 1111 1111 1111 call +1 415 555 26{i:02}" for i in range(25)]
+    texts += [f"the secret: everything and password: nothing, order {i}12-00-0000, version 10.{i}.3.4, token = changeme" for i in range(25)] + [None, "", "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found, at = [], []
+    for d, text in enumerate(texts):
+        text = text or ""
+        base = brute(text)
+        more = [("secret", *m.span()) for m in pii._ACCESS_KEY.finditer(text)] + [("secret", *m.span()) for m in pii._ASSIGNED.finditer(text)]
+        more += [("ssn", *m.span()) for m in pii._SSN.finditer(text)] + [("phone", *m.span()) for m in pii._LOCAL_PHONE.finditer(text)]
+        more += [("email", m.start(1), m.end()) for m in pii._SPELT.finditer(text)]
+        kept = []
+        for kind, s, e in sorted(more, key=lambda x: (x[1], -x[2])):
+            if all(e <= a or b <= s for _, a, b in [*base, *kept]):
+                kept.append((kind, s, e))
+        for is_base, spans in ((True, base), (False, kept)):
+            for kind, s, e in spans:
+                found.append((kind, *brute_votes(text, kind, s, e)))
+                at.append((d, kind, s, e, is_base))
+    accepted = brute_accepted(found)
+    spans = {d: [] for d in range(len(texts))}
+    for (d, *span, is_base), p in zip(at, accepted, strict=True):
+        if is_base or p >= 0.5:
+            spans[d].append((pii.KINDS.index(span[0]), *span, is_base))
+    assert min(abs(p - 0.5) for (*_, is_base), p in zip(at, accepted, strict=True) if not is_base) > 0.01  # nothing hangs on rounding
+    for r in pii.op8_pii(spark, str(tmp_path)).collect():
+        want = sorted(spans[r.doc_id], key=lambda x: (x[0], x[2]))
+        text = lambda rows: ",".join(f"{k}:{s}:{e}" for _, k, s, e, _ in rows)
+        assert r.spans == text(want) and r.base_sha256 == hashlib.sha256(text([x for x in want if x[4]]).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(x[1] == k and x[4] for x in want) for k in pii.BASE]
+        assert (r.n_spans, r.n_secret, r.n_ssn) == (len(want), sum(x[1] == "secret" for x in want), sum(x[1] == "ssn" for x in want))

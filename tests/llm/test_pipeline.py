@@ -7,6 +7,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from test_line_dedup import WS, brute_whole
+from test_near_duplicates import brute_components
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 WORDS = {
@@ -56,6 +59,14 @@ def test_stages_and_result(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/stage{k}")
         seen[name] = {r.doc_id: r for r in docs.collect()}
     assert set(texts) - set(seen["language_id"]) <= {502, 503} and 502 not in seen["language_id"]
+    # the line and near-duplicate stages against brute force on what they were given
+    given = sorted(seen["language_id"].values(), key=lambda r: r.doc_id)
+    cleaned = dict(zip([r.doc_id for r in given], brute_whole([(r.doc_id, r.text) for r in given], 10), strict=True))
+    changed = {r.doc_id for r in given if cleaned[r.doc_id] != r.text}
+    want = {i: t for i, t in cleaned.items() if i not in changed or (t or "").strip(WS)}
+    assert {i: r.text for i, r in seen["line_dedup"].items()} == want
+    components = brute_components(want)
+    assert set(seen["simhash_dedup"]) == set(components.values())
     lines = seen["line_dedup"]
     assert 500 not in lines and PASSAGE in lines[21].text and PASSAGE not in lines[22].text
     assert lines[22].text == texts[22].replace("\n" + PASSAGE, "") and lines[22].n_chars == len(lines[22].text)

@@ -51,3 +51,12 @@ def test_a_small_host_is_shrunk_to_the_corpus(spark):
 
 def test_empty_table(spark):
     assert quality_rules(spark.createDataFrame([], "doc_id long, source string, text string")).collect() == []
+
+
+def test_very_long_and_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(200_000)) + "\n" + "again and again the same words\n" * 20_000
+    rows = [(1, text, "h"), (1, text, "h"), (None, "", "h"), (2, "a b c", None)]
+    got = document_counts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    ones = [r for r in got if r.id == 1]
+    assert len(got) == 4 and len(ones) == 2 and ones[0] == ones[1]
+    assert ones[0].n_words == 200_000 + 120_000 and ones[0].n_dup_lines == 19_999 and ones[0].n_repeat_words == 120_000
