@@ -41,7 +41,7 @@ SIGNIFICANT = 4.0  # standard deviations of a word's log-ratio
 EFFECT = 1.5  # least size of a log-ratio: weaker preferences go with topic or language, and add up
 ROUNDS = 100
 STORED = 6  # steps between two tables of rates
-PROGRESS = 1e-3  # two rounds in turn that gain less, relatively, are the last
+PROGRESS = 3e-6  # of the first loss
 RIDGE = 1e-6  # pull of rates to one copy: of rates that meet the targets alike, those nearest to it
 #: share of the tokens that each domain of the labelled table should get
 TARGETS = {"clean": 0.97, "junk": 0.03, "toxic": 0.0}
@@ -156,22 +156,26 @@ def _sums(table: DataFrame, rate: Column, k: range) -> np.ndarray:
     return np.array([float(got[f"a{i}"] or 0) for i in k])
 
 
-def _moments(table: DataFrame, k: range) -> np.ndarray:
-    """Second moments of the posteriors, weighted by tokens."""
-    got = table.agg(*[F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in k for j in range(i + 1)]).first()
+def _moments(table: DataFrame, free: Column, k: range) -> np.ndarray:
+    """Second moments of the posteriors of the rows that are ``free``, weighted by tokens."""
+    n = F.when(free, F.col("n_tokens")).otherwise(0)
+    got = table.agg(*[F.sum(n * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in k for j in range(i + 1)]).first()
     return np.array([[float(got[f"m{max(i, j)}_{min(i, j)}"] or 0) for j in k] for i in k])
 
 
 def fit_rates(table: DataFrame, targets: list[float], lower: float = 0.0, budget: float | None = None, rounds: int = ROUNDS) -> DataFrame:
     """Add ``rate`` to ``table(n_tokens, p0, p1, ...)``.
 
-    Minimises ``(A r - T)' W (A r - T) / 2 + RIDGE * sum n (r - 1)^2 / 2`` over ``r >= lower``:
-    ``A r`` are the expected domain totals, ``T`` the targets, ``W`` the inverse second moments
-    of the posteriors, in which domains that overlap are told apart.  In the metric of the tokens
-    the gradient of a row with posteriors ``p`` is ``p W (A r - T) + RIDGE (r - 1)`` and its
-    Lipschitz constant is 1, so whole steps, each cut off at ``lower``, go down.  They are taken
-    from a point ahead of the last two (accelerated, and started anew when that overshoots).  Every
-    ``STORED`` steps the rates are stored.
+    Minimises ``(A r - T)' W (A r - T) / 2`` over ``r >= lower``, near one copy: ``A r`` are the
+    expected domain totals, ``T`` the targets, ``W`` the inverse second moments of the
+    posteriors, in which domains that overlap are told apart.  A step on the rate of a row with
+    posteriors ``p`` is ``r - p V (A r - T)``, cut off at ``lower``, in the metric of the tokens.
+    First ``V`` are the inverse moments of the rows not at the bound, which closes the gaps at
+    once but for the cut; such steps go on as long as each halves the loss.  Then ``V = W``: the
+    plain gradient, whose Lipschitz constant is 1, so whole steps go down.  They start from a
+    point ahead of the last two (accelerated, and anew where that overshoots), until two in turn
+    gain less than ``PROGRESS`` of the first loss or a thousandth of what is left.
+    Every ``STORED`` steps the rates are stored.
 
     ``budget`` is the number of tokens of the mixture; by default the largest for
     which no domain needs more tokens than it has.
@@ -182,24 +186,43 @@ def fit_rates(table: DataFrame, targets: list[float], lower: float = 0.0, budget
     total = _sums(table, F.lit(1.0), k)
     if budget is None:
         budget = min((total[i] / share[i] for i in k if share[i] > 0), default=0.0)
-    want, weight, size = share * budget, np.linalg.pinv(_moments(table, k), rcond=1e-9, hermitian=True), max(budget, total.sum(), 1.0)
-    state, stored, slow, momentum = table.withColumns({"_rate": F.lit(1.0), "_ahead": F.lit(1.0)}), None, 0, 1.0
-    ahead = total
+    moments = _moments(table, F.lit(True), k)
+    want, weight, size = share * budget, np.linalg.pinv(moments, rcond=1e-9, hermitian=True), max(budget, total.sum(), 1.0)
+
+    def loss(reached: np.ndarray) -> float:
+        return float((reached - want) @ weight @ (reached - want))
+
+    def moved(state: DataFrame, start: str, pull: np.ndarray) -> DataFrame:
+        r = F.col(start) * (1 - RIDGE) + RIDGE - _total([F.col(f"p{i}") * float(pull[i]) for i in k])
+        return state.withColumn("_new", F.when(F.col("n_tokens") > 0, F.greatest(F.lit(float(lower)), r)).otherwise(1.0))
+
+    state, stored, slow, momentum, ahead = table.withColumns({"_rate": F.lit(1.0), "_ahead": F.lit(1.0)}), None, 0, 1.0, total
+    first, scaled = loss(total), True
     for done in range(1, rounds + 1):
         if np.abs(total - want).max() <= 1e-7 * size:
             break
-        gap = weight @ (ahead - want)
-        pull = _total([F.col(f"p{i}") * float(gap[i]) for i in k])
-        new = F.greatest(F.lit(float(lower)), F.col("_ahead") * (1 - RIDGE) + RIDGE - pull)
-        state = state.withColumn("_new", F.when(F.col("n_tokens") > 0, new).otherwise(1.0))
+        if scaled:
+            if done > 1:
+                moments = _moments(state, F.col("_rate") > lower, k)
+            state = moved(state, "_rate", np.linalg.pinv(moments, rcond=1e-6, hermitian=True) @ (total - want))
+        else:
+            state = moved(state, "_ahead", weight @ (ahead - want))
         reached = _sums(state, F.col("_new"), k)
-        before, after = ((x - want) @ weight @ (x - want) for x in (total, reached))
-        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        far = (momentum - 1) / following if after <= before else 0.0
-        momentum = following if after <= before else 1.0
+        before, after, far = loss(total), loss(reached), 0.0
+        if scaled and after >= before:
+            scaled = False  # back to where it was
+            state = state.drop("_new").withColumn("_ahead", F.col("_rate"))
+            ahead = total
+            continue
+        if scaled:
+            scaled = after <= 0.5 * before
+        else:
+            following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+            far = (momentum - 1) / following if after <= before else 0.0
+            momentum = following if after <= before else 1.0
+            slow = slow + 1 if abs(before - after) <= max(PROGRESS * first, 1e-3 * after) else 0
         state = state.withColumn("_ahead", F.col("_new") + (F.col("_new") - F.col("_rate")) * float(far)).select(*columns, F.col("_new").alias("_rate"), "_ahead")
         ahead, total = reached + far * (reached - total), reached
-        slow = slow + 1 if abs(before - after) <= PROGRESS * before else 0
         if slow == 2:
             break
         if done % STORED == 0:
