@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import date
 from pathlib import Path
@@ -20,6 +21,11 @@ def geography_column(geography: str) -> Column:
     return F.col(geography)
 
 
+def is_address(path: object) -> bool:
+    """Whether a path names its file system, as ``hdfs://host/x`` and ``file:/x`` do."""
+    return re.match("[A-Za-z][A-Za-z0-9+.-]+:/", str(path)) is not None
+
+
 @dataclass(frozen=True, slots=True)
 class GeographyFilter:
     geography: str
@@ -112,7 +118,7 @@ class ExportTarget:
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "format", self.format.strip().lower())
-        if "://" not in str(self.output_path):  # an address of another file system stays as it is
+        if not is_address(self.output_path):  # an address of a file system stays as it is
             object.__setattr__(self, "output_path", Path(self.output_path))
 
 

@@ -20,6 +20,7 @@ from .operators import spatial as S
 from .operators import timeseries as TS
 from .operators import topics as T
 from .sources import requests as R
+from .sources.files import stored
 from .sources.tables import requests_lines, requests_orders, table
 from .stats import causal, inequality, regression, series, spatial_models
 
@@ -314,6 +315,11 @@ def panel(spark, d) -> DataFrame:
     return P.build_complaint_panel(requests_orders(spark, d), "community_district", "ME", EVENTS)
 
 
+def stored_panel(spark, d) -> DataFrame:
+    """The panel without its map, stored: estimators read it many times."""
+    return stored(panel(spark, d).drop("complaint_counts_by_type"), "panel")
+
+
 PANEL_COLUMNS = ("unit_id", "period", "complaint_count", "resolution_rate", "median_resolution_days", "treatment", "treatment_date")
 _PANEL_OUT = "unit_id, period, complaint_count, round(resolution_rate, 9) AS resolution_rate, median_resolution_days, treatment, treatment_date"
 
@@ -572,20 +578,20 @@ gt AS (SELECT t.cohort AS "group", t.period, t.m - k.m AS att, greatest(sqrt(coa
 
 @query(f'{_CELLS} SELECT "group", period, round(att, 9) AS att, round(se, 9) AS se FROM gt')
 def did_att_gt(spark, d):
-    return rounded(causal.group_time_effects(panel(spark, d), "complaint_count"))
+    return rounded(causal.group_time_effects(stored_panel(spark, d), "complaint_count"))
 
 
 @query(f"""{_CELLS} SELECT round(sum(att / greatest(se * se, 1e-20)) / sum(1 / greatest(se * se, 1e-20)), 6) AS aggregated_att, round(1 / sqrt(sum(1 / greatest(se * se, 1e-20))), 6) AS aggregated_se,
 CAST(count(DISTINCT "group") AS DOUBLE) AS n_groups, CAST(count(DISTINCT period) AS DOUBLE) AS n_periods FROM gt""")
 def did_aggregate(spark, d):
-    found = causal.staggered_did(panel(spark, d), "complaint_count")
+    found = causal.staggered_did(stored_panel(spark, d), "complaint_count")
     return rounded(one_row(spark, found, ["aggregated_att", "aggregated_se", "n_groups", "n_periods"]), 6)
 
 
 @query(f"""{_CELLS}, b AS (SELECT "group", max(period) AS base FROM gt WHERE period < "group" GROUP BY 1), z AS (SELECT gt."group", att AS att0 FROM gt JOIN b ON gt."group" = b."group" AND period = base)
 SELECT gt."group", period, round(att - att0, 9) + 0.0 AS att FROM gt JOIN z ON gt."group" = z."group" """)
 def att_gt(spark, d):
-    return rounded(causal.att_gt(panel(spark, d), "complaint_count"))
+    return rounded(causal.att_gt(stored_panel(spark, d), "complaint_count"))
 
 
 @query(f"""WITH {PANEL}, o AS (SELECT period, row_number() OVER (ORDER BY period) AS k FROM (SELECT DISTINCT period FROM p)),
@@ -595,7 +601,7 @@ c AS (SELECT rel, avg(gap) AS c, CASE WHEN count(*) > 1 THEN stddev_samp(gap) /
 r AS (SELECT rel, c - (SELECT c FROM c WHERE rel = -1) AS c, se FROM c)
 SELECT rel AS relative_period, round(c, 9) AS coefficient, round(se, 9) AS std_error, round(c - 1.96 * se, 9) AS ci_lower, round(c + 1.96 * se, 9) AS ci_upper FROM r""")
 def event_study(spark, d):
-    return rounded(causal.event_study_effects(panel(spark, d), "complaint_count"))
+    return rounded(causal.event_study_effects(stored_panel(spark, d), "complaint_count"))
 
 
 @query(f"""WITH {PANEL}, w AS (SELECT complaint_count - avg(complaint_count) OVER (PARTITION BY unit_id) - avg(complaint_count) OVER (PARTITION BY period) + avg(complaint_count) OVER () AS y,
@@ -603,7 +609,7 @@ resolution_rate - avg(resolution_rate) OVER (PARTITION BY unit_id) - avg(resolut
 b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS xx FROM w), g AS (SELECT unit_id, sum(x * (y - b * x)) AS s FROM w, b GROUP BY 1)
 SELECT round(b, 6) AS coefficient, round(sqrt((SELECT sum(s * s) FROM g)) / xx, 6) AS std_error FROM b""")
 def panel_fe(spark, d):
-    found = regression.panel_fixed_effects(panel(spark, d), "complaint_count", ["resolution_rate"], time_effects=True)
+    found = regression.panel_fixed_effects(stored_panel(spark, d), "complaint_count", ["resolution_rate"], time_effects=True)
     values = {"coefficient": found["coefficients"]["resolution_rate"], "std_error": found["std_errors"]["resolution_rate"]}
     return rounded(one_row(spark, values, list(values)), 6)
 
@@ -676,13 +682,13 @@ def hawkes(spark, d):
 
 @query()
 def synth_control(spark, d):
-    found = causal.synthetic_control(panel(spark, d), "NATION_0", "complaint_count", 25)
+    found = causal.synthetic_control(stored_panel(spark, d), "NATION_0", "complaint_count", 25)
     return long_rows(spark, found["donor_weights"] | {"_att": found["att"], "_p": found["placebo_p_value"]})
 
 
 @query()
 def sdid(spark, d):
-    found = causal.synthetic_did(panel(spark, d), "complaint_count", 25)
+    found = causal.synthetic_did(stored_panel(spark, d), "complaint_count", 25)
     return long_rows(spark, found["unit_weights"] | {"_att": found["att"], "_se": found["std_error"]})
 
 

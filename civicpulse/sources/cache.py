@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import GeographyFilter, ServiceRequestFilter, SocrataConfig
+from ..config import GeographyFilter, ServiceRequestFilter, SocrataConfig, is_address
 from ..functions.constants import BOROUGHS
 from .files import exists, folder_sha256, write_text
 from .requests import REQUEST_SCHEMA, load_service_requests_from_csv
@@ -35,7 +35,7 @@ def cache_path(config: SocrataConfig, filters: ServiceRequestFilter, cache_dir:
     key = hashlib.sha256(_jsonable([shape, asdict(filters), max_records]).encode()).hexdigest()[:16]
     place = filters.geography.value if filters.geography else "all"
     name = f"{slug(place)}_{filters.start_date or 'none'}_{filters.end_date or 'none'}_{key}.parquet"
-    return f"{str(cache_dir).rstrip('/')}/{name}" if "://" in str(cache_dir) else Path(cache_dir) / name
+    return f"{str(cache_dir).rstrip('/')}/{name}" if is_address(cache_dir) else Path(cache_dir) / name
 
 
 def meta_path(path: Path | str) -> Path | str:

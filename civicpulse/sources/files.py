@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _BUFFER = 1 << 20
@@ -22,12 +22,20 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share.")
         base = "file:///tmp/civicpulse-shared"
         spark.conf.set("spark.checkpoint.dir", base)
-    base = base if "://" in base or base.startswith("file:") else f"file://{base}"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    files, place = _hadoop(spark, base)
+    return f"{files.makeQualified(place).toString().rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder: for what is read several times and cheap to keep."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _hadoop(spark: SparkSession, path: str | Path):
-    place = spark._jvm.org.apache.hadoop.fs.Path(Path(path).absolute().as_uri() if ":/" not in str(path) else str(path))
+    """File system and path; a ``Path`` is a local one, text without an address is on the default file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path.absolute().as_uri() if isinstance(path, Path) else path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
