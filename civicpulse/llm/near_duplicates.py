@@ -212,16 +212,18 @@ def near_components(rows: DataFrame, shingle: int = SHINGLE, similarity: float =
         return materialise(both.select("a", "b", alike.alias("linked")), "edges")
 
     tried = linked(covered)
+    roots = connected_components(tried.where("linked").select("a", "b"))
     values = nodes.select("node", "n", "sig")
     for agree, spanning in ((SURE, True), (AGREE, False)):
-        roots = connected_components(tried.where("linked").select("a", "b"))
         placed = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high").select("key")
         placed = materialise(placed.join(mixed, "key").join(values, "node").select("key", "node", "root", "n", "sig"), "placed")
         pairs = bucket_pairs(placed, similarity, agree, spanning)
-        tried = tried.unionByName(linked(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")))
+        more = linked(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        tried = tried.unionByName(more)
         drop_scratch(placed)
-    roots = connected_components(tried.where("linked").select("a", "b"))
+        if not more.where("linked").isEmpty():
+            roots = connected_components(tried.where("linked").select("a", "b"))
     named = nodes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id"))
     return known.select("_row", "h1", "h2").join(named, ["h1", "h2"]).select("_row", "component_id")
 
