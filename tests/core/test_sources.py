@@ -173,3 +173,77 @@ def test_settings_are_checked():
             bad()
     with pytest.raises(ValueError):
         sinks._path(ExportTarget("xml", "/tmp/x"), "csv")
+
+
+@pytest.fixture
+def counting_api():
+    """A local API that counts its rows when asked; 5 rows a borough."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    calls = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            query = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            calls.append(query)
+            if query["$select"].startswith("count"):
+                rows = [{"n": "5"}]
+            else:
+                first, size = int(query["$offset"]), int(query["$limit"])
+                rows = [API_ROW | {"unique_key": str(k), "borough": query["$where"].split("'")[1]} for k in range(first, min(first + size, 5))]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(rows).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", calls
+    server.shutdown()
+
+
+def test_pages_are_dealt_by_the_servers_count(spark, counting_api):
+    url, calls = counting_api
+    config = SocrataConfig(base_url=url, page_size=2)
+    f = ServiceRequestFilter(geography=GeographyFilter("borough", "BRONX"))
+    options = {"config": json.dumps({"base_url": url, "page_size": 2}), "template": socrata.page_url(config, f, 0), "pages_per_partition": "1"}
+    reader = socrata._Reader(options)
+    parts = reader.partitions()
+    assert [(p.first, p.stop) for p in parts] == [(0, 1), (1, 2), (2, None)] and calls[0]["$where"] == "borough = 'BRONX'"
+    assert [[r[0] for r in reader.read(p)] for p in parts] == [["0", "1"], ["2", "3"], ["4"]]
+    config = SocrataConfig(base_url="http://127.0.0.1:1", page_size=2)  # nobody there: no count
+    assert socrata.count_rows(socrata.page_url(config, f, 0), config, opener=fake_api({}, fail=99)[0]) is None
+
+
+def test_bulk_fetch_reports_pages_and_skips_stored_boroughs(spark, tmp_path, counting_api):
+    url, calls = counting_api
+    config, told = SocrataConfig(base_url=url, page_size=2), []
+    got = cache.bulk_fetch(spark, config, tmp_path, boroughs=("BRONX", "QUEENS"), on_progress=lambda *x: told.append(x))
+    assert sorted((r.borough, r.service_request_id) for r in got.collect()) == [(b, str(k)) for b in ("BRONX", "QUEENS") for k in range(5)]
+    assert told == [(b, page, n) for b in ("BRONX", "QUEENS") for page, n in enumerate((2, 2, 1))]
+    before = len(calls)
+    cache.bulk_fetch(spark, config, str(tmp_path), boroughs=("BRONX", "BROOKLYN"), on_progress=lambda *x: told.append(x))
+    assert {t[0] for t in told[6:]} == {"BROOKLYN"} and all("BROOKLYN" in c["$where"] for c in calls[before:])
+    f = ServiceRequestFilter(geography=GeographyFilter("borough", "BRONX"))
+    meta = json.loads(cache.meta_path(cache.cache_path(config, f, tmp_path)).read_text())
+    assert (meta["record_count"], meta["borough"], meta["page_size"], meta["start_date"]) == (5, "BRONX", 2, None) and len(meta["sha256"]) == 64
+
+
+def test_files_on_any_file_system(spark, tmp_path):
+    from civicpulse.sources import files
+
+    folder = files.shared_folder(spark, "x")
+    assert folder.startswith("file:/")
+    with files.open_text(spark, f"{folder}/deep/a.txt") as f:
+        for _ in range(3):
+            f.write("é\n" * 600_000)
+    assert files.exists(spark, f"{folder}/deep/a.txt") and not files.exists(spark, tmp_path / "b.txt")
+    assert files.read_text(spark, f"{folder}/deep/a.txt") == "é\n" * 1_800_000
+    files.write_text(spark, tmp_path / "b.txt", "x")
+    assert (tmp_path / "b.txt").read_text() == "x"
+    target = ExportTarget("csv", f"{folder}/o.csv")
+    assert target.output_path == f"{folder}/o.csv" and sinks._path(target, "csv") == f"{folder}/o.csv"
