@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -129,6 +130,18 @@ def prefix_sums(df: DataFrame, keys: list[str], weight: str, out: str) -> DataFr
     return dealt.withColumn(out, before.cast("long")).drop("_range")
 
 
+def give_back() -> None:
+    """Return memory that a worker has freed to the machine: Arrow and the C library keep it otherwise.
+
+    Workers live as long as their executor, and what they keep adds to its limit.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
     """Runs of whole groups from a stream that is sorted by ``keys``."""
     held: list[pa.RecordBatch] = []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_scratch, group_bounds, materialise, put_back, text_or_empty, whole_groups
+from .common import connected_components, drop_scratch, give_back, group_bounds, materialise, put_back, text_or_empty, whole_groups
 from .simhash import link_edges, majority_bits, numbered, one_row_of_each
 
 SHINGLE = 5
@@ -105,6 +105,8 @@ def sketches(rows: DataFrame, shingle: int) -> DataFrame:
             columns = [pa.array(x, pa.int64()) for x in (h1, h2, n)]
             columns += [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_row", "h1", "h2", "n", "fp", "bands", "sig"])
+            del columns, bands, sigs
+            give_back()
 
     return rows.select("_row", text_or_empty().alias("text")).mapInArrow(
         work, "_row long, h1 long, h2 long, n long, fp long, bands array<long>, sig binary"
@@ -118,6 +120,8 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             own = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "shingles"])
+            del own
+            give_back()
 
     return rows.select("_row", text_or_empty().alias("text")).mapInArrow(work, "node long, shingles array<long>")
 

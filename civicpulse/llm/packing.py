@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, prefix_sums, read_table, text_or_empty
+from .common import give_back, materialise, prefix_sums, read_table, text_or_empty
 
 SLOTS, DIMS, BITS = 256, 4, 12
 #: entries of a generation of a worker's cache of encoded words
@@ -220,6 +220,8 @@ def _tokenize(path: str, end_id: int):
                      pa.array([x.tobytes() + end for x in got], pa.binary())],
                     names=["row", "id", "key", "n", "width", "ids"],
                 )
+            del part, got, cells
+            give_back()
 
     return work
 
@@ -234,6 +236,14 @@ def tail_cuts(total: int, length: int) -> list[int]:
     return cuts
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+        del whole
+        give_back()
+
+
 def _cut(length: int, total: int, with_ids: bool):
     tail = tail_cuts(total, length)
     full = tail[0] // length
@@ -247,7 +257,7 @@ def _cut(length: int, total: int, with_ids: bool):
         return full + k, tail[k], tail[k + 1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+        for batch in _slices(batches, 256):
             columns = (batch.column(c).to_pylist() for c in ("id", "key", "n", "width", "at"))
             data = batch.column("ids")
             rows = []
