@@ -9,11 +9,13 @@ checked on the whole sets of shingles (64-bit hashes) before it counts.
 
 Equal sets are one node, so copies are never expanded into pairs.  In the buckets of
 the bands only nodes of different components meet.  A bucket first gives a spanning
-forest of the pairs whose MinHash values agree like those of near-duplicates; once
-these are checked and merged, the remaining pairs of different components whose values
-agree in at least ``AGREE`` of the rows (0.8 less 3.3 standard deviations) are checked
-each.  Values are compared in blocks; a bucket of more than ``CHUNK`` nodes is dealt as
-pairs of chunks to as many tasks.
+forest of the pairs whose MinHash values agree like those of near-duplicates; these are
+checked and merged.  Of what is left the nodes with a partner of another component whose
+values agree in at least ``AGREE`` of the rows (0.8 less 3.3 standard deviations) fetch
+their sets into the bucket and are checked there, pair by pair, each pair in the first
+band it shares and only while the bucket does not know the two as one; links leave a
+bucket as a forest, pairs never do.  Values are compared in blocks; a bucket of more than
+``CHUNK`` nodes is dealt as pairs of chunks to as many tasks.
 
 Defined cases: A-Z are lower-cased; with fewer words than a shingle the whole word
 sequence is the only shingle; texts without words (or null) are copies of each
@@ -126,52 +128,52 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("_row", text_or_empty().alias("text")).mapInArrow(work, "node long, shingles array<long>")
 
 
-def bucket_pairs(rows: DataFrame, similarity: float, agree: float, spanning: bool) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of nodes of different components that share a bucket of
-    ``rows(key, node, root, n, sig)`` and agree in the share ``agree`` of their MinHash values;
-    with ``spanning`` only a spanning forest of each bucket's."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows(key, ...)`` with ``part`` and ``chunk``: buckets of more than ``CHUNK`` nodes as pairs of chunks."""
     large = rows.groupBy("key").agg(F.count("*").alias("_k")).where(F.col("_k") > CHUNK)
     large = materialise(large.select(F.col("key").alias("_key"), F.ceil(F.col("_k") / CHUNK).cast("int").alias("_chunks")), "large")
     dealt = rows.join(large, F.col("key") == F.col("_key"), "left").withColumn("chunks", F.coalesce("_chunks", F.lit(1)))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    dealt = dealt.select("key", "node", "root", "n", "sig", "chunk", "chunks", other)
+    dealt = dealt.select(*rows.columns, "chunk", "chunks", other)
     part = F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")
-    dealt = dealt.select("key", part.alias("part"), "node", "root", "n", "sig")
-
-    def near(i: np.ndarray, j: np.ndarray, sig: np.ndarray, n: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Matrix of the pairs of ``i`` and ``j`` that qualify, a block of values at a time."""
-        ok = root[i][:, None] != root[j][None, :]
-        small, big = np.minimum(n[i][:, None], n[j][None, :]), np.maximum(n[i][:, None], n[j][None, :])
-        ok &= small >= similarity * big - 1e-9
-        p, q = np.nonzero(ok)
-        for at in range(0, len(p), 1 << 17):
-            s = slice(at, at + (1 << 17))
-            ok[p[s], q[s]] = (sig[i[p[s]]] == sig[j[q[s]]]).mean(axis=1) >= agree
-        return ok
+    return dealt.select(*rows.columns, part.alias("part"))
+
+
+def _near(i: np.ndarray, j: np.ndarray, sig: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: float, agree: float) -> np.ndarray:
+    """Matrix of the pairs of rows ``i`` and ``j`` of different components whose MinHash values agree."""
+    ok = root[i][:, None] != root[j][None, :]
+    small, big = np.minimum(n[i][:, None], n[j][None, :]), np.maximum(n[i][:, None], n[j][None, :])
+    ok &= small >= similarity * big - 1e-9
+    p, q = np.nonzero(ok)
+    for at in range(0, len(p), 1 << 17):
+        s = slice(at, at + (1 << 17))
+        ok[p[s], q[s]] = (sig[i[p[s]]] == sig[j[q[s]]]).mean(axis=1) >= agree
+    return ok
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+    node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
+    return node, root, n, np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+
+
+def bucket_forest(rows: DataFrame, similarity: float, agree: float) -> DataFrame:
+    """Distinct pairs ``(a, b)`` that span, in each bucket of ``rows(key, node, root, n, sig)``, the nodes of
+    different components that agree in the share ``agree`` of their MinHash values."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ("key", "part")):
-            node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+            node, root, n, sig = _columns(table)
             a, b = [], []
             for start, stop in group_bounds(table, ("key", "part")):
-                every = np.arange(start, stop)
                 if root[start:stop].min() == root[start:stop].max():
                     continue
-                if not spanning:
-                    for at in range(0, len(every), 512):
-                        p, q = np.nonzero(near(every[at : at + 512], every, sig, n, root))
-                        up = node[every[at + p]] < node[every[q]]
-                        a += node[every[at + p[up]]].tolist()
-                        b += node[every[q[up]]].tolist()
-                    continue
-                rest = every
+                rest = np.arange(start, stop)
                 while len(rest) > 1:
                     queue, rest = [rest[0]], rest[1:]
                     while queue and len(rest):
                         x = queue.pop()
-                        reached = near(np.array([x]), rest, sig, n, root)[0]
+                        reached = _near(np.array([x]), rest, sig, n, root, similarity, agree)[0]
                         a += [int(node[x])] * int(reached.sum())
                         b += node[rest[reached]].tolist()
                         queue.extend(rest[reached].tolist())
@@ -180,8 +182,74 @@ def bucket_pairs(rows: DataFrame, similarity: float, agree: float, spanning: boo
                 x, y = np.array(a), np.array(b)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    found = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(work, "a long, b long")
-    return found.distinct()
+    dealt = _dealt(rows).select("key", "part", "node", "root", "n", "sig")
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(work, "a long, b long").distinct()
+
+
+def bucket_links(rows: DataFrame, sets: DataFrame, similarity: float, agree: float) -> DataFrame:
+    """Links ``(a, b)`` between different components of ``rows(key, node, root, n, sig, bands)``, checked in the buckets.
+
+    ``sets(node, shingles)`` are fetched by the nodes that have a likely partner only.
+    """
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ("key", "part")):
+            node, root, n, sig = _columns(table)
+            keep = np.zeros(table.num_rows, bool)
+            for start, stop in group_bounds(table, ("key", "part")):
+                if root[start:stop].min() == root[start:stop].max():
+                    continue
+                every = np.arange(start, stop)
+                for at in range(0, len(every), 512):
+                    keep[every[at : at + 512]] = _near(every[at : at + 512], every, sig, n, root, similarity, agree).any(axis=1)
+            yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ("key", "part")):
+            table = table.combine_chunks()
+            node, root, n, sig = _columns(table)
+            key = table.column("key").to_numpy()
+            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(table.num_rows, BANDS)
+            shingles = table.column("shingles").combine_chunks()
+            ends, values = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+            a, b = [], []
+            for start, stop in group_bounds(table, ("key", "part")):
+                every = np.arange(start, stop)
+                own = dict(enumerate(root[start:stop].tolist()))
+                parent = {r: r for r in own.values()}
+
+                def find(r: int, parent: dict[int, int] = parent) -> int:
+                    while parent[r] != r:
+                        parent[r] = parent[parent[r]]
+                        r = parent[r]
+                    return r
+
+                band = int(np.flatnonzero(bands[start] == key[start])[0])
+                for at in range(0, len(every), 512):
+                    p, q = np.nonzero(_near(every[at : at + 512], every, sig, n, root, similarity, agree))
+                    p = p + at
+                    up = p < q
+                    p, q = p[up], q[up]
+                    first = (bands[every[p]][:, :band] == bands[every[q]][:, :band]).any(axis=1)
+                    for i, j in zip(p[~first].tolist(), q[~first].tolist(), strict=True):
+                        x, y = find(own[i]), find(own[j])
+                        if x == y:
+                            continue
+                        one, two = (values[ends[start + k] : ends[start + k + 1]] for k in (i, j))
+                        common = len(np.intersect1d(one, two, assume_unique=True))
+                        if common >= similarity * (len(one) + len(two) - common) - 1e-9:
+                            parent[x] = y
+                            a.append(int(node[start + i]))
+                            b.append(int(node[start + j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            give_back()
+
+    kept = "key long, part int, node long, root long, n long, sig binary, bands array<long>"
+    dealt = _dealt(rows).select("key", "part", "node", "root", "n", "sig", "bands")
+    found = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(likely, kept)
+    found = materialise(found, "likely").join(sets, "node").select("key", "part", "node", "root", "n", "sig", "bands", "shingles")
+    return found.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(check, "a long, b long")
 
 
 def near_components(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -215,21 +283,28 @@ def near_components(rows: DataFrame, shingle: int = SHINGLE, similarity: float =
         alike = common >= similarity * (F.size("_sa") + F.size("_sb") - common) - 1e-9
         return materialise(both.select("a", "b", alike.alias("linked")), "edges")
 
-    tried = linked(covered)
-    roots = connected_components(tried.where("linked").select("a", "b"))
-    values = nodes.select("node", "n", "sig")
-    for agree, spanning in ((SURE, True), (AGREE, False)):
+    edges = linked(covered).where("linked").select("a", "b")
+    roots = connected_components(edges)
+    values = nodes.select("node", "n", "sig", "bands")
+
+    def unmerged() -> DataFrame:
         placed = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high").select("key")
-        placed = materialise(placed.join(mixed, "key").join(values, "node").select("key", "node", "root", "n", "sig"), "placed")
-        pairs = bucket_pairs(placed, similarity, agree, spanning)
-        more = linked(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        tried = tried.unionByName(more)
-        drop_scratch(placed)
-        if not more.where("linked").isEmpty():
-            roots = connected_components(tried.where("linked").select("a", "b"))
+        return materialise(placed.join(mixed, "key").join(values, "node"), "placed")
+
+    forest = bucket_forest(unmerged().select("key", "node", "root", "n", "sig"), similarity, SURE)
+    more = linked(forest.join(covered, ["a", "b"], "left_anti")).where("linked").select("a", "b")
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        roots = connected_components(edges)
+    more = materialise(bucket_links(unmerged(), sets, similarity, AGREE), "edges")
+    if not more.isEmpty():
+        roots = connected_components(edges.unionByName(more))
     named = nodes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id"))
-    return known.select("_row", "h1", "h2").join(named, ["h1", "h2"]).select("_row", "component_id")
+    named = materialise(known.select("_row", "h1", "h2").join(named, ["h1", "h2"]).select("_row", "component_id"), "near")
+    for table in (known, nodes, keyed, prints, covered, sets):
+        drop_scratch(table)
+    return named
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -73,3 +73,28 @@ def test_bands_meet_at_the_similarity():
 def test_shingles():
     assert len(shingle_set(b"")) == 0 and len(shingle_set(b"a b")) == 1 and len(shingle_set(b"a b c d e f")) == 2
     assert (shingle_set(b"A b\nc") == shingle_set(b"a  b c")).all()
+
+
+def test_a_borderline_group_is_checked_in_its_buckets(spark, monkeypatch):
+    """Many texts around the similarity: chunks, slices of batches and bands change nothing in the components."""
+    from civicpulse.llm import near_duplicates as N
+
+    monkeypatch.setattr(N, "CHUNK", 16)
+    monkeypatch.setattr(N, "SURE", 0.97)  # leaves nearly all to the check in the buckets
+    rng = np.random.default_rng(9)
+    vocab, texts = [f"w{i}" for i in range(400)], {}
+    base = list(rng.choice(vocab, 120))
+    for i in range(90):
+        words = list(base)
+        for _ in range(int(rng.integers(0, 5))):
+            words[int(rng.integers(len(words)))] = f"x{i}"
+        texts[i] = " ".join(words)
+    texts |= {200 + i: " ".join(rng.choice(vocab, 30)) for i in range(40)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        df = spark.createDataFrame(list(texts.items()), "_row long, text string")
+        got = near_components(df.repartition(3)).groupBy("component_id").agg(F.sort_array(F.collect_list("_row")).alias("rows")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute_components(texts)
+    assert sorted(r.rows for r in got) == sorted(sorted(i for i in want if want[i] == c) for c in set(want.values()))
