@@ -220,7 +220,7 @@ def _tokenize(path: str, end_id: int):
                      pa.array([x.tobytes() + end for x in got], pa.binary())],
                     names=["row", "id", "key", "n", "width", "ids"],
                 )
-            del part, got, cells
+            part = got = cells = None
             give_back()
 
     return work
