@@ -155,9 +155,9 @@ def _positions(spark, path: str) -> DataFrame:
 SELECT position, concat_ws(',', geography, geography_value, complaint_type, topic, complaint_count, geography_total_count, printf('%.6f', share_of_geography), topic_rank, is_dominant_topic) AS line FROM o
 UNION ALL SELECT 0, 'geography,geography_value,complaint_type,topic,complaint_count,geography_total_count,share_of_geography,topic_rank,is_dominant_topic'""")
 def topic_table_sink(spark, d):
-    """The exported topic table, line by line in its final order."""
+    """The exported topic table, line by line in its final order; its shares are rounded to nine places first, as everywhere."""
     path = shared_folder(spark, "export") + "/topics.csv"
-    sinks.export_topic_table(A.aggregate_by_geography(assigned_lines(spark, d), "community_district"), ExportTarget("csv", path))
+    sinks.export_topic_table(rounded(A.aggregate_by_geography(assigned_lines(spark, d), "community_district")), ExportTarget("csv", path))
     return _positions(spark, path)
 
 

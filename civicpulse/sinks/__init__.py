@@ -25,36 +25,34 @@ def _path(target: ExportTarget, *formats: str) -> Path | str:
     return target.output_path
 
 
-def _write_rows(df: DataFrame, path: Path | str) -> Path | str:
+def _write_rows(df: DataFrame, path: Path | str, floats: tuple[str, ...] = ()) -> Path | str:
+    """One file; ``floats`` with six decimals.
+
+    Python rounds the exact value of a double, as C and SQL do; Java's formatter (Spark's
+    ``format_string``) rounds its shortest digits and halves up, so 1/128 would end in 3, not 2.
+    """
+    six = [name in floats for name in df.columns]
     with open_text(df.sparkSession, path) as f:
         out = csv.writer(f)
         out.writerow(df.columns)
         for row in df.toLocalIterator():
-            out.writerow(["" if v is None else v for v in row])
+            out.writerow(["" if v is None else f"{v:.6f}" if s else v for v, s in zip(row, six, strict=True)])
     return path
 
 
-def _as_text(df: DataFrame, floats: tuple[str, ...]) -> DataFrame:
-    columns = []
-    for name, kind in df.dtypes:
-        c = F.col(name)
-        if name in floats:
-            c = F.format_string("%.6f", c)
-        elif kind == "boolean":
-            c = c.cast("string")
-        columns.append(c.alias(name))
-    return df.select(*columns)
+def _as_text(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(name).cast("string") if kind == "boolean" else F.col(name) for name, kind in df.dtypes])
 
 
 def export_topic_table(summaries: DataFrame, target: ExportTarget) -> Path | str:
     """One CSV file, ordered by geography, type and rank; shares with six decimals."""
     df = summaries.orderBy("geography_value", "complaint_type", "topic_rank")
-    return _write_rows(_as_text(df, ("share_of_geography",)), _path(target, "csv"))
+    return _write_rows(_as_text(df), _path(target, "csv"), ("share_of_geography",))
 
 
 def export_anomalies(anomalies: DataFrame, target: ExportTarget) -> Path | str:
     df = anomalies.orderBy(F.desc(F.abs("z_score")), "geography_value", "complaint_type", "topic_rank")
-    return _write_rows(_as_text(df, ("share_of_geography", "z_score", "anomaly_threshold")), _path(target, "csv"))
+    return _write_rows(_as_text(df), _path(target, "csv"), ("share_of_geography", "z_score", "anomaly_threshold"))
 
 
 def export_service_requests_csv(requests: DataFrame, target: ExportTarget, single_file: bool = False) -> Path | str:

@@ -184,3 +184,23 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_exported_shares_round_like_the_sql(spark, tmp_path):
+    """Shares half-way between two texts of six decimals, exactly (1 of 128) or once rounded to nine places."""
+    c = duckdb.connect()
+    nations = [(0, 1, 128), (1, 1, 128), (2, 2808, 3013), (3, 414, 3019), (4, 1, 3)]  # place, lines of the first topic, lines
+    values = ", ".join(map(str, nations))
+    tables = {
+        "region": "SELECT 0 AS r_regionkey, 'EUROPE' AS r_name",
+        "nation": f"SELECT k AS n_nationkey, 'NATION_' || k AS n_name, 0 AS n_regionkey FROM (VALUES {values}) v(k, a, n)",
+        "supplier": f"SELECT k::BIGINT AS s_suppkey, k AS s_nationkey FROM (VALUES {values}) v(k, a, n)",
+        "part": "SELECT * FROM (VALUES (1::BIGINT, 'hot rod', 'STANDARD'), (2::BIGINT, 'large bolt', 'STANDARD')) v(p_partkey, p_name, p_type)",
+        "lineitem": f"SELECT k::BIGINT AS l_suppkey, (CASE WHEN i < a THEN 1 ELSE 2 END)::BIGINT AS l_partkey, TIMESTAMP '1996-01-01' AS l_shipdate, 'F' AS l_linestatus FROM (VALUES {values}) v(k, a, n), range(3019) r(i) WHERE i < n",
+    }
+    for name, sql in tables.items():
+        c.sql(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = sorted((r[0], r[1]) for r in c.sql(Q.ORACLES["topic_table_sink"]).fetchall())
+    assert any(",0.007812," in line for _, line in want) and any(",0.931961," in line or ",0.931962," in line for _, line in want)
+    assert sorted((r.position, r.line) for r in Q.QUERIES["topic_table_sink"](spark, str(tmp_path)).collect()) == want
