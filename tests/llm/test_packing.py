@@ -113,3 +113,33 @@ def test_other_tokenizer_files_are_encoded_by_themselves(tmp_path, change):
     texts = [t or "" for t in TEXTS] + ["Mixed CASE Words 123 and It's 45th"]
     for text, ids in zip(texts, encode(texts), strict=True):
         assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_words_begin_where_the_rule_says():
+    import random
+
+    from civicpulse.llm.packing import WordEncoder
+
+    rng, signs = random.Random(5), "abzst''remdvell  \n\x1c\x85\xa0.,'!0½éÀµß×÷ªZ9\x00\x7f"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(2000)] + ["'", "x'", "it's", "'re'll", "''ve"]
+    encode = WordEncoder(PATH)
+    for group in (1, 100, 1 << 20):
+        encode.GROUP = group
+        for text, ids in zip(texts, encode(texts), strict=True):
+            assert ids.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_cutting_neither_sorts_ids_nor_keeps_words(spark):
+    """What overran an executor's memory: sorted ids beside workers that keep the encoder's words."""
+    from civicpulse.llm import packing
+
+    df = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = pack_documents(df, PATH)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    word_encoder(PATH)
+    assert list(packing._cut(2048, 0, False)(iter([]))) == [] and word_encoder.cache_info().currsize == 0
