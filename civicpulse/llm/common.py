@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,25 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Tables written inside pass ``rows`` rows at a time from reader to worker, if the session has no smaller batches.
+
+    Readers, Arrow's buffers and workers each hold a whole batch: with the usual 10000
+    rows of long texts that is a good part of an executor's memory.
+    """
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in before.items():
+            if not 0 < int(value) <= rows:
+                spark.conf.set(name, rows)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -110,15 +130,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def prefix_sums(df: DataFrame, keys: list[str], weight: str, out: str) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: list[str], weight: str, out: str, merge: bool = False) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over the rows before this one in key order.
 
     Rows are dealt by range of their keys and summed within a range; only one sum
     per range reaches the driver, so no task and no driver holds the whole order.
-    Rows of equal keys are ordered arbitrarily; make the keys unique.
+    Rows of equal keys are ordered arbitrarily; make the keys unique.  With ``merge``
+    Spark may merge small neighbouring ranges, which writes fewer files.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id())
+    parts = [] if merge else [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))]
+    dealt = df.repartitionByRange(*parts, *keys).withColumn("_range", F.spark_partition_id())
     dealt = materialise(dealt, "ranges")
     total, pairs = 0, []
     for row in dealt.groupBy("_range").agg(F.sum(weight).alias("n")).orderBy("_range").collect():

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, materialise, prefix_sums, read_table, text_or_empty
+from .common import give_back, materialise, prefix_sums, read_table, small_batches, text_or_empty
 
 SLOTS, DIMS, BITS = 256, 4, 12
 #: entries of a generation of a worker's cache of encoded words
@@ -347,8 +347,9 @@ def pack_documents(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")
     )
     schema = "row long, id long, key long, n long, width int, ids binary"
-    tokens = materialise(slim.mapInArrow(_tokenize(tokenizer, end_id), schema), "tokens")
-    order = prefix_sums(tokens.select("row", "id", "key", "n"), ["key", "id", "row"], "n", "at")
+    with small_batches(docs.sparkSession):
+        tokens = materialise(slim.mapInArrow(_tokenize(tokenizer, end_id), schema), "tokens")
+    order = prefix_sums(tokens.select("row", "id", "key", "n"), ["key", "id", "row"], "n", "at", merge=True)
     total = tokens.agg(F.sum("n").alias("n")).first()["n"] or 0
     # hashing the slim side leaves the ids unsorted; a sort would hold them in the executors' memory
     placed = tokens.join(order.select("row", "at").hint("shuffle_hash"), "row")
